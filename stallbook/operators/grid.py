@@ -77,7 +77,7 @@ def row_profile(cells: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(filled, F.col("col"))), F.lit(0)).alias("width"),
         F.array_sort(
             F.collect_list(F.when(filled, F.struct("col", "text", "master_row")))
-        ).alias("cells"),
+        ).alias("row_cells"),
     )
 
 
@@ -101,7 +101,7 @@ def sheet_headers(profile: DataFrame) -> DataFrame:
     top = filled & (F.col("row") <= HEADER_SEARCH_ROWS)
     facts = profile.groupBy(*SHEET).agg(
         F.array_sort(
-            F.collect_list(F.when(top, F.struct("row", "n_filled", "has_digits", "width", "cells")))
+            F.collect_list(F.when(top, F.struct("row", "n_filled", "has_digits", "width", "row_cells")))
         ).alias("top"),
         F.min(F.when(filled & (F.col("row") > HEADER_SEARCH_ROWS), F.struct("row", "has_digits"))).alias("below"),
         F.max("width").alias("max_width"),
@@ -121,7 +121,7 @@ def sheet_headers(profile: DataFrame) -> DataFrame:
     named = facts.withColumn("header", header).withColumn(
         "headers",
         F.when(F.col("header").isNull(), positional).otherwise(
-            _dense_texts(F.col("header.cells"), F.col("header.width"))
+            _dense_texts(F.col("header.row_cells"), F.col("header.width"))
         ),
     )
     return named.select(
@@ -212,13 +212,13 @@ def assemble_rows(classified: DataFrame) -> DataFrame:
         name = F.nullif(F.get(F.col("headers"), cell["col"] - 1), F.lit(""))
         return F.coalesce(name, F.concat(F.lit("col_"), cell["col"].cast("string")))
 
-    own = F.filter("cells", lambda c: c["master_row"] != F.col("row"))
+    own = F.filter("row_cells", lambda c: c["master_row"] != F.col("row"))
     return classified.where(F.col("reason").isNull()).select(
         *SHEET,
         "row",
         "headers",
-        F.map_from_entries(F.transform("cells", lambda c: F.struct(key(c), c["text"]))).alias("cells"),
-        _dense_texts(F.col("cells"), F.col("width")).alias("values"),
+        F.map_from_entries(F.transform("row_cells", lambda c: F.struct(key(c), c["text"]))).alias("cells"),
+        _dense_texts(F.col("row_cells"), F.col("width")).alias("values"),
         F.map_from_entries(F.transform(own, lambda c: F.struct(key(c), c["master_row"]))).alias("inherited"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.digest import hmac_pads
 from ..operators import alternatives as alt
 from ..operators import cart, catalog, gate
+from ..session import written
 from ..sources.mandates import decode_mandates, encode_mandates
 from .tables import table, with_tables
 
@@ -56,6 +57,22 @@ def _verdicts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return gate.evaluate(marked, F.col("now")), lines
 
 
+def _offers(spark: SparkSession, sf: str, verdicts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Alternatives of the refusals they can answer.
+
+    The refusals and their cart lines are read in several places of the plan, hence
+    written out once instead of pricing all carts again for each.
+    """
+    refused = gate.answerable(verdicts).where("item_count > 0").select(
+        "session_id", "merchant_id", "max_value", "categories", "cart_categories"
+    )
+    refused = written(refused, "refused")
+    in_carts = lines.select("session_id", "item_id", "category", "error").join(
+        refused.select("session_id"), "session_id", "left_semi"
+    )
+    return alt.alternatives(refused, written(in_carts, "refused-lines"), table(spark, sf, "catalog"))
+
+
 # --- check SQL shared by several queries -------------------------------------------
 LINES_SQL = """
 lines AS (SELECT r.session_id, r.merchant_id, r.item_id, r.quantity, r.pos, r.quoted_minor, c.title, c.price_minor, c.category,
@@ -475,8 +492,7 @@ SELECT session_id, merchant_id, CAST(rank AS INTEGER) AS rank, variant_id AS id,
 )
 def gate_alternatives(spark, sf):
     verdicts, lines = _verdicts(spark, sf)
-    refused = gate.answerable(verdicts).where("item_count > 0")
-    return alt.alternatives(refused, lines, table(spark, sf, "catalog"))
+    return _offers(spark, sf, verdicts, lines)
 
 
 @query(
@@ -494,8 +510,8 @@ FROM verdicts v LEFT JOIN drifts USING (session_id) LEFT JOIN named USING (sessi
 )
 def gate_evidence(spark, sf):
     verdicts, lines = _verdicts(spark, sf)
-    refused = gate.answerable(verdicts).where("item_count > 0")
-    offers = alt.alternatives(refused, lines, table(spark, sf, "catalog"))
+    verdicts = written(verdicts, "verdicts")
+    offers = _offers(spark, sf, verdicts, lines)
     records = gate.gate_evidence(verdicts, cart.price_drift(lines), offers)
     shape = (
         "cart_total_minor bigint, mandate_ceiling_minor bigint, drift array<struct<quoted_minor:bigint,live_minor:bigint>>, "

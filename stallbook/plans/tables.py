@@ -267,6 +267,24 @@ FROM (SELECT *, UNROLL(SEQ(1, CASE WHEN p_partkey % 10 = 0 THEN 2 WHEN p_partkey
   FROM {{sheet_parts}}) AS r""",
 }
 
+# Lines of the documents, and the lines cut at commas: sheets full of prose and junk.
+# (Spark text, check text)
+SPLIT_TABLES: dict[str, tuple[str, str]] = {
+    "doc_lines": (
+        "SELECT doc_id, source, CAST(pos + 1 AS INT) AS line_no, line "
+        "FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) t AS pos, line",
+        "SELECT doc_id, source, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no, "
+        "unnest(string_split(text, chr(10))) AS line FROM {documents}",
+    ),
+    "doc_cells": (
+        "SELECT source AS file, 'doc_' || CAST(doc_id AS STRING) AS sheet, line_no AS `row`, CAST(pos + 1 AS INT) AS col, part AS text "
+        "FROM {doc_lines} LATERAL VIEW posexplode(split(line, ',')) t AS pos, part",
+        "SELECT source AS file, 'doc_' || CAST(doc_id AS STRING) AS sheet, line_no AS \"row\", "
+        "CAST(generate_subscripts(string_split(line, ','), 1) AS INTEGER) AS col, unnest(string_split(line, ',')) AS text FROM {doc_lines}",
+    ),
+}
+
+
 def _spark_text(sql: str) -> str:
     # An upper end below 1 means no row; sequence() would count downwards.
     sql = sql.replace("UNROLL(SEQ(1, CASE WHEN p_partkey % 10 = 0 THEN 2 WHEN p_partkey % 23 = 0 THEN 0 ELSE 1 END))",
@@ -275,12 +293,14 @@ def _spark_text(sql: str) -> str:
     return sql.replace("<<", "{{").replace(">>", "}}")
 
 
-def _check_text(sql: str) -> str:
-    return sql.replace("UNROLL(SEQ(", "unnest(generate_series(")
+def _check_text(name: str) -> str:
+    if name in SPLIT_TABLES:
+        return SPLIT_TABLES[name][1]
+    return TABLES[name].replace("UNROLL(SEQ(", "unnest(generate_series(")
 
 
 def _names(sql: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)))
 
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -292,9 +312,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     configure(spark)
     if name in GIVEN:
         return given(spark, folder, name)
-    sql = TABLES[name]
+    sql = SPLIT_TABLES[name][0] if name in SPLIT_TABLES else _spark_text(TABLES[name])
     parts = {n: table(spark, folder, n) for n in _names(sql)}
-    return spark.sql(_spark_text(sql), **parts)
+    return spark.sql(sql, **parts)
 
 
 def with_tables(body: str, *names: str) -> str:
@@ -307,7 +327,7 @@ def with_tables(body: str, *names: str) -> str:
     def need(name: str) -> None:
         if name in GIVEN or name in ordered:
             return
-        for other in _names(TABLES[name]):
+        for other in _names(_check_text(name)):
             need(other)
         ordered.append(name)
 
@@ -315,7 +335,7 @@ def with_tables(body: str, *names: str) -> str:
         need(name)
     items = []
     for name in ordered:
-        sql = _check_text(TABLES[name])
+        sql = _check_text(name)
         text = sql.format(**{n: n for n in _names(sql)}).replace("<<", "{").replace(">>", "}")
         items.append(f"{name} AS ({text})")
     body = body.strip()
