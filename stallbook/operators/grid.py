@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import KNOWN_HEADERS, ROLE_SYNONYMS
 from ..functions.text import WORD_END, WORD_START, WS, as_text, dedupe_key
+from ..session import written
 from .ranking import position_of_distinct
 
 SHEET = ["file", "sheet"]
@@ -161,24 +162,18 @@ def with_roles(headers: DataFrame) -> DataFrame:
     return headers
 
 
-def with_blank_rows(profile: DataFrame, slice_rows: int = 1024) -> DataFrame:
-    """Adds the rows of which a sparse cell table holds nothing at all."""
+def blank_rows(profile: DataFrame, headers: DataFrame, slice_rows: int = 1024) -> DataFrame:
+    """Rows up to a sheet's height of which a sparse cell table holds nothing at all."""
     present = profile.select(*SHEET, "row", F.floor((F.col("row") - 1) / slice_rows).cast("int").alias("slice"))
     seen = present.groupBy(*SHEET, "slice").agg(F.collect_set("row").alias("seen"))
-    heights = profile.groupBy(*SHEET).agg(F.max("row").alias("height"))
-    slices = heights.withColumn(
+    slices = headers.select(*SHEET, "height").withColumn(
         "slice",
         F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / slice_rows).cast("int"))),
     )
     first = F.col("slice") * slice_rows + 1
     expected = F.sequence(first, F.least(first + slice_rows - 1, F.col("height")))
-    gaps = slices.join(seen, [*SHEET, "slice"], "left").select(
-        *SHEET,
-        F.explode(
-            F.array_except(expected, F.coalesce("seen", F.array().cast("array<int>")))
-        ).alias("row"),
-    )
-    return profile.unionByName(gaps, allowMissingColumns=True).fillna({"n_filled": 0, "width": 0})
+    missing = F.array_except(expected, F.coalesce("seen", F.array().cast("array<int>")))
+    return slices.join(seen, [*SHEET, "slice"], "left").select(*SHEET, F.explode(missing).alias("row"))
 
 
 def classify_rows(profile: DataFrame, headers: DataFrame) -> DataFrame:
@@ -198,11 +193,12 @@ def classify_rows(profile: DataFrame, headers: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason)
 
 
-def skipped_rows(classified: DataFrame) -> DataFrame:
-    """Rows that are no data, each with its reason."""
-    return classified.where(F.col("reason").isin("preamble", "blank", "junk")).select(
-        *SHEET, "row", "reason"
-    )
+def skipped_rows(classified: DataFrame, gaps: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows that are no data, each with its reason; rows without any cell included."""
+    named = classified.where(F.col("reason").isin("preamble", "blank", "junk")).select(*SHEET, "row", "reason")
+    above = F.when(F.col("row") < F.col("header_row"), "preamble").otherwise("blank")
+    empty = gaps.join(headers.select(*SHEET, "header_row"), SHEET).select(*SHEET, "row", above.alias("reason"))
+    return named.unionByName(empty)
 
 
 def assemble_rows(classified: DataFrame) -> DataFrame:
@@ -224,11 +220,16 @@ def assemble_rows(classified: DataFrame) -> DataFrame:
 
 
 def structure_sheets(cells: DataFrame, merges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sheet headers, data rows, skipped rows) of every sheet in the cell table."""
-    profile = row_profile(fill_merges(cells, merges) if merges is not None else cells)
+    """(sheet headers, data rows, skipped rows) of every sheet in the cell table.
+
+    The row profile is written out: headers, rows and skips all read it, each a
+    few of its columns, and the cells are shuffled once instead of for each.
+    """
+    profile = written(row_profile(fill_merges(cells, merges) if merges is not None else cells), "sheet-rows")
     headers = sheet_headers(profile)
-    classified = classify_rows(with_blank_rows(profile), headers)
-    return headers, assemble_rows(classified), skipped_rows(classified)
+    classified = classify_rows(profile, headers)
+    skipped = skipped_rows(classified, blank_rows(profile, headers), headers)
+    return headers, assemble_rows(classified), skipped
 
 
 def find_duplicates(rows: DataFrame, key_field: str, scope: list[str]) -> tuple[DataFrame, DataFrame]:

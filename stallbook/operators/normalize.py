@@ -76,7 +76,7 @@ def rate_disagrees_with_pack():
 
 
 def flag_rows(rows: DataFrame) -> DataFrame:
-    """Adds `flags`: everything doubtful or notable about a row that has a reading."""
+    """Adds `flags`: everything doubtful or notable about a row and its reading."""
     category_unsure = (F.col("resolved_category") == UNMAPPED) | (
         F.col("reading.category_confidence") < CATEGORY_CONFIDENCE_MIN
     )
@@ -95,104 +95,80 @@ def flag_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flags", F.array_distinct(F.concat("price.flags", extra)))
 
 
-def _provenance():
-    return F.struct(
-        F.col("file").alias("source_file"),
-        F.col("sheet").alias("source_sheet"),
-        F.col("row").alias("source_row"),
-        F.col("cells").alias("source_cells"),
-    )
-
-
 _EMPTY_MAP = "map<string,string>"
 
 
-def _placeholders(rows: DataFrame) -> DataFrame:
-    first_cell = F.get(F.map_values("cells"), F.lit(0))
-    flags = F.array(F.lit("MISSING_REQUIRED_FIELD"), F.lit("CATEGORY_UNMAPPED"))
-    none = lambda kind: F.lit(None).cast(kind)
-    return rows.select(
-        "merchant_id", *ROW_KEY, "sheet_no",
-        F.lit(0).cast("bigint").alias("option_ord"),
-        F.concat(F.lit("__unextracted_"), F.col("row").cast("string")).alias("product_key"),
-        stable_id("var", "merchant_id", "sheet", "row").alias("variant_id"),
-        F.coalesce(first_cell, F.concat(F.lit("row "), F.col("row").cast("string"))).alias("title"),
-        F.lit(UNMAPPED).alias("category"),
-        none("string").alias("category_raw"),
-        F.lit(0.0).alias("category_confidence"),
-        F.lit(0).cast("bigint").alias("price_minor"),
-        F.lit(CURRENCY).alias("currency"),
-        none("bigint").alias("compare_at_minor"),
-        F.lit("unknown").alias("availability"),
-        none("bigint").alias("inventory_count"),
-        F.create_map().cast(_EMPTY_MAP).alias("options"),
-        F.create_map().cast(_EMPTY_MAP).alias("attributes"),
-        none("string").alias("image_url"),
-        _provenance().alias("provenance"),
-        F.lit(0.0).alias("confidence"),
-        flags.alias("flags"),
-        F.struct(
-            F.lit("").alias("title"), none("string").alias("description"), none("string").alias("brand"),
-            F.lit(True).alias("title_inferred"), F.lit(0.0).alias("confidence"),
-        ).alias("named"),
-    )
-
-
 def normalize_rows(rows: DataFrame) -> DataFrame:
-    """Variants of rows that already carry `reading` and the role columns.
+    """Variants of rows that carry `reading` (NULL: none) and the role columns, in one pass.
 
     The variant id hashes the merchant, the merchant's own identifying cells and
     the option combination: neither a new price nor another wording by the model
     changes it.
     """
-    read = rows.where(F.col("reading").isNotNull())
-    parsed = flag_rows(resolve_category(read_money_stock(read)))
+    parsed = flag_rows(resolve_category(read_money_stock(rows)))
     money_columns = F.array_compact(F.array("price_field", "list_price_field", "stock_field"))
     identity = identity_signature("cells", money_columns)
-    keyed = parsed.withColumn("identity", F.coalesce(F.nullif(identity, F.lit("")), "reading.title"))
-    expanded = explode_options(
-        keyed.withColumn("stated_options", F.col("reading.options")),
-        "stated_options", "chosen", "option_ord",
+    no_options = F.create_map().cast(_EMPTY_MAP)
+    keyed = parsed.withColumn("identity", F.coalesce(F.nullif(identity, F.lit("")), "reading.title")).withColumn(
+        "stated_options", F.coalesce("reading.options", no_options)
     )
-    split = F.when(F.col("chosen_total") > 1, F.array(F.lit("VARIANTS_SPLIT"))).otherwise(
-        F.array().cast("array<string>")
+    expanded = explode_options(keyed, "stated_options", "chosen", "option_ord")
+
+    unread = F.col("reading").isNull()
+    row_text = F.col("row").cast("string")
+    strings = "array<string>"
+
+    def known(value):
+        return F.when(~unread, value)
+
+    def either(placeholder, value):
+        return F.when(unread, placeholder).otherwise(value)
+
+    unpriced = F.col("price.amount_minor").isNull() & ~F.array_contains("flags", "MISSING_REQUIRED_FIELD")
+    flags = F.array_distinct(
+        F.concat(
+            "flags",
+            F.when(F.col("chosen_total") > 1, F.array(F.lit("VARIANTS_SPLIT"))).otherwise(F.array().cast(strings)),
+            F.when(unpriced, F.array(F.lit("MISSING_REQUIRED_FIELD"))).otherwise(F.array().cast(strings)),
+        )
     )
+    first_cell = F.coalesce(F.get(F.map_values("cells"), F.lit(0)), F.concat(F.lit("row "), row_text))
     category = F.col("resolved_category")
-    extracted = expanded.select(
+    own_id = stable_id("var", "merchant_id", "identity", option_signature("chosen"))
+    return expanded.select(
         "merchant_id", *ROW_KEY, "sheet_no", "option_ord",
-        F.coalesce("reading.variant_group", F.concat(F.lit("__row_"), F.col("row").cast("string"))).alias("product_key"),
-        stable_id("var", "merchant_id", "identity", option_signature("chosen")).alias("variant_id"),
-        variant_title("reading.title", "chosen").alias("title"),
-        category.alias("category"),
+        either(
+            F.concat(F.lit("__unextracted_"), row_text),
+            F.coalesce("reading.variant_group", F.concat(F.lit("__row_"), row_text)),
+        ).alias("product_key"),
+        either(stable_id("var", "merchant_id", "sheet", "row"), own_id).alias("variant_id"),
+        either(first_cell, variant_title("reading.title", "chosen")).alias("title"),
+        either(F.lit(UNMAPPED), category).alias("category"),
         F.when(F.col("reading.category") != category, F.col("reading.category")).alias("category_raw"),
-        F.col("reading.category_confidence").alias("category_confidence"),
+        F.coalesce(F.col("reading.category_confidence").cast("double"), F.lit(0.0)).alias("category_confidence"),
         # Zero only ever beside the flag that withholds it.
-        F.coalesce("price.amount_minor", F.lit(0).cast("bigint")).alias("price_minor"),
+        F.coalesce(known(F.col("price.amount_minor")), F.lit(0).cast("bigint")).alias("price_minor"),
         F.lit(CURRENCY).alias("currency"),
-        "compare_at_minor",
-        F.col("stock.availability").alias("availability"),
-        F.col("stock.inventory_count").alias("inventory_count"),
+        known(F.col("compare_at_minor")).alias("compare_at_minor"),
+        either(F.lit("unknown"), F.col("stock.availability")).alias("availability"),
+        known(F.col("stock.inventory_count")).alias("inventory_count"),
         F.col("chosen").alias("options"),
-        F.coalesce("reading.attributes", F.create_map().cast(_EMPTY_MAP)).alias("attributes"),
+        F.coalesce("reading.attributes", no_options).alias("attributes"),
         F.lit(None).cast("string").alias("image_url"),
-        _provenance().alias("provenance"),
-        F.col("reading.confidence").alias("confidence"),
-        F.array_distinct(
-            F.concat(
-                "flags", split,
-                F.when(F.col("price.amount_minor").isNull() & (~F.array_contains("flags", "MISSING_REQUIRED_FIELD")),
-                       F.array(F.lit("MISSING_REQUIRED_FIELD"))).otherwise(F.array().cast("array<string>")),
-            )
-        ).alias("flags"),
         F.struct(
-            F.col("reading.title").alias("title"),
+            F.col("file").alias("source_file"), F.col("sheet").alias("source_sheet"),
+            F.col("row").alias("source_row"), F.col("cells").alias("source_cells"),
+        ).alias("provenance"),
+        F.coalesce(F.col("reading.confidence").cast("double"), F.lit(0.0)).alias("confidence"),
+        either(F.array(F.lit("MISSING_REQUIRED_FIELD"), F.lit("CATEGORY_UNMAPPED")), flags).alias("flags"),
+        F.struct(
+            F.coalesce("reading.title", F.lit("")).alias("title"),
             F.col("reading.description").alias("description"),
             F.col("reading.brand").alias("brand"),
-            F.col("reading.title_inferred").alias("title_inferred"),
-            F.col("reading.confidence").alias("confidence"),
+            F.coalesce("reading.title_inferred", F.lit(True)).alias("title_inferred"),
+            F.coalesce(F.col("reading.confidence").cast("double"), F.lit(0.0)).alias("confidence"),
         ).alias("named"),
     )
-    return extracted.unionByName(_placeholders(rows.where(F.col("reading").isNull())))
 
 
 def variants(rows: DataFrame, readings: DataFrame) -> DataFrame:

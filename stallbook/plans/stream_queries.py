@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import hmac_sha256
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources.payments import parse_events
 from ..streaming import payments, requests
 from .tables import table, with_tables
@@ -137,19 +137,32 @@ def events_session_state(spark, sf):
     return payments.apply_transitions(sessions, folded).select("session_id", "status", "order_id")
 
 
-def _as_stream(df: DataFrame, spark: SparkSession, purpose: str, files: int = 3) -> tuple[DataFrame, str]:
-    """The rows as a stream of `files` files in arrival order, one per micro-batch."""
+def _in_parts(df: DataFrame, spark: SparkSession, purpose: str, start, parts: int = 3) -> str:
+    """Feeds the rows to a stream in `parts` portions by arrival; returns its folder.
+
+    The stream is stopped and started again between portions, so every portion also
+    picks up the progress and state the one before has stored.
+    """
     folder = shared_folder(spark, purpose)
-    df.repartitionByRange(files, "arrival").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return stream, folder
+    steps = [i / parts for i in range(1, parts)]
+    bounds = df.agg(F.percentile_approx("arrival", F.array(*[F.lit(s) for s in steps]))).first()[0] or []
+    portion = F.lit(0)
+    for bound in bounds:
+        portion = portion + (F.col("arrival") > bound).cast("int")
+    for number in range(parts):
+        df.where(portion == number).write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    return folder
 
 
 @query("stream_events_folded", "WITH " + FOLD_SQL.strip() + _FOLDED_SQL, FOLD_TABLES)
 def stream_events_folded(spark, sf):
     """The fold as a stream: raw events in micro-batches, audit rows read from its table."""
-    stream, folder = _as_stream(_raw(spark, sf), spark, "events")
-    payments.start_fold(stream, table(spark, sf, "sessions"), SECRET, folder).awaitTermination()
+    sessions = table(spark, sf, "sessions")
+    folder = _in_parts(
+        written(_raw(spark, sf), "raw-events"), spark, "events",
+        lambda stream, folder: payments.start_fold(stream, sessions, SECRET, folder),
+    )
     return spark.read.schema(payments.AUDIT_SCHEMA).parquet(f"{folder}/audit").select(*_FOLDED)
 
 
@@ -164,6 +177,5 @@ SELECT arrival, CASE WHEN arrival = owner_arrival THEN 'proceed' WHEN body <> ow
     ("requests",),
 )
 def stream_requests_arbitrated(spark, sf):
-    stream, folder = _as_stream(table(spark, sf, "requests"), spark, "requests")
-    requests.start_arbitration(stream, folder).awaitTermination()
+    folder = _in_parts(table(spark, sf, "requests"), spark, "requests", requests.start_arbitration)
     return spark.read.parquet(f"{folder}/decisions").select("arrival", "decision")

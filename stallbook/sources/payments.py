@@ -30,7 +30,9 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
     A path that meets an array, null or nothing yields NULL, as `notes` does.
     """
     v = "__event"
-    parsed = raw.withColumn(v, F.try_parse_json(body))
+    # Exploding an array of one parses each text once: no filter on a field can move
+    # in front of it and bring the parsing along.
+    parsed = raw.withColumn(v, F.explode(F.array(F.try_parse_json(body))))
     c = F.col(v)
     recognised = (_text(c, "$.entity") == "event") & _text(c, "$.event").isNotNull()
     return (
