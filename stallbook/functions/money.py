@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed import MAX_PLAUSIBLE_MINOR, MIN_PLAUSIBLE_MINOR
-from .text import WORD_END, WORD_START, WS, as_text, col, none_if_empty
+from .text import WORD_END, WORD_START, WS, as_text, col, none_if_empty, once
 
 PRICE_TYPE = (
     "struct<amount_minor:bigint,compare_at_minor:bigint,rate_unit:string,flags:array<string>>"
@@ -114,4 +114,4 @@ def with_price(df: DataFrame, source: str, target: str) -> DataFrame:
         rate_unit(text).alias("rate_unit"),
         flags.alias("flags"),
     )
-    return staged.withColumn(target, value).drop(*temporary)
+    return staged.withColumn(target, once(value)).drop(*temporary)

@@ -19,6 +19,16 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column) -> Column:
+    """The same value, computed once per row.
+
+    The optimizer copies the expression behind a column into every filter it moves
+    towards the scan. It does not do so with the output of an explode, which makes
+    this the form for costly values that later steps filter on.
+    """
+    return F.explode(F.array(value))
+
+
 def as_text(c: ColumnOrName) -> Column:
     """Text of a cell without surrounding whitespace; absent becomes ''."""
     text = F.regexp_replace(col(c).cast("string"), rf"^[{WS}]+|[{WS}]+\z", "")

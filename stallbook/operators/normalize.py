@@ -20,7 +20,7 @@ from ..functions.options import (
     explode_options, identity_signature, option_signature, variant_title,
 )
 from ..functions.quantity import measure_rate, parse_quantity, parse_stock
-from ..functions.text import as_text, has_indic
+from ..functions.text import has_indic, once
 
 ROW_KEY = ["file", "sheet", "row"]
 PRODUCT_KEY = ["file", "sheet", "product_key"]
@@ -51,7 +51,7 @@ def read_money_stock(rows: DataFrame) -> DataFrame:
     staged = (
         rows.withColumn("price_text", _cell("price_field"))
         .withColumn("listed_text", _cell("list_price_field"))
-        .withColumn("stock", parse_stock(_cell("stock_field")))
+        .withColumn("stock", once(parse_stock(_cell("stock_field"))))
         .withColumn("pack", parse_quantity(_cell("pack_size_field")))
     )
     priced = with_price(with_price(staged, "price_text", "price"), "listed_text", "listed")
@@ -92,7 +92,7 @@ def flag_rows(rows: DataFrame) -> DataFrame:
             F.when(F.exists(F.map_values("cells"), has_indic), F.lit("MULTILINGUAL_SOURCE")),
         )
     )
-    return rows.withColumn("flags", F.array_distinct(F.concat("price.flags", extra)))
+    return rows.withColumn("flags", once(F.array_distinct(F.concat("price.flags", extra))))
 
 
 _EMPTY_MAP = "map<string,string>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import col, once
 
 MANDATE_TYPE = (
     "struct<mandate_id:string,issued_at:string,expires_at:string,"
@@ -15,28 +15,33 @@ MANDATE_TYPE = (
 )
 
 
-def decode_mandate(header: Column | str) -> Column:
-    """Mandate struct of a header; malformed or misshapen -> NULL."""
-    standard = F.translate(col(header), "-_", "+/")
-    bare = F.regexp_replace(standard, r"=+\z", "")
+def _header_text(header: Column) -> Column:
+    """JSON text of a base64url header, padded or not; NULL when it is no base64."""
+    bare = F.regexp_replace(F.translate(header, "-_", "+/"), r"=+\z", "")
     padded = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("="))
-    text = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    body = F.try_parse_json(text)
+    return F.try_to_binary(padded, F.lit("base64")).cast("string")
 
+
+def _well_shaped(body: Column) -> Column:
     def kind(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(body, path, "variant"))
 
-    strings = [kind(f"$.{f}") == "STRING" for f in ("mandate_id", "issued_at", "expires_at", "signature")]
-    shaped = strings[0] & strings[1] & strings[2] & strings[3]
-    shaped = shaped & kind("$.constraints").startswith("OBJECT")
+    shaped = kind("$.constraints").startswith("OBJECT")
     shaped = shaped & kind("$.constraints.max_amount").rlike("^(OBJECT|ARRAY|VOID)")
-    return F.when(F.coalesce(shaped, F.lit(False)), F.from_json(text, MANDATE_TYPE))
+    for field in ("mandate_id", "issued_at", "expires_at", "signature"):
+        shaped = shaped & (kind(f"$.{field}") == "STRING")
+    return F.coalesce(shaped, F.lit(False))
 
 
 def decode_mandates(df: DataFrame, header: str) -> DataFrame:
-    """Adds the flat mandate columns of a header; all NULL when it does not decode."""
+    """Adds the flat mandate columns of a header; malformed or misshapen gives NULLs, no error."""
     m = "__mandate"
-    decoded = df.withColumn(m, decode_mandate(header))
+    text, body = "__text", "__body"
+    decoded = (
+        df.withColumn(text, once(_header_text(col(header))))
+        .withColumn(body, once(F.try_parse_json(text)))
+        .withColumn(m, once(F.when(_well_shaped(F.col(body)), F.from_json(text, MANDATE_TYPE))))
+    )
     return decoded.select(
         *df.columns,
         F.col(f"{m}.mandate_id").alias("mandate_id"),

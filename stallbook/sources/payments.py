@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_id
+from ..functions.text import canonical_id, once
 
 _LINK = "$.payload.payment_link.entity"
 _PAYMENT = "$.payload.payment.entity"
@@ -30,9 +30,7 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
     A path that meets an array, null or nothing yields NULL, as `notes` does.
     """
     v = "__event"
-    # Exploding an array of one parses each text once: no filter on a field can move
-    # in front of it and bring the parsing along.
-    parsed = raw.withColumn(v, F.explode(F.array(F.try_parse_json(body))))
+    parsed = raw.withColumn(v, once(F.try_parse_json(body)))
     c = F.col(v)
     recognised = (_text(c, "$.entity") == "event") & _text(c, "$.event").isNotNull()
     return (
