@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import digest, flags, money, options, quantity, text
 from ..functions.fixed import CATEGORIES, KNOWN_HEADERS, UNITS
 from ..operators import catalog, feed, grid, normalize
-from ..session import written
+from ..session import shared_folder, written
+from ..sources.cells import read_cells
 from ..sources.readings import read_extractions
 from ..sources.tables import feed_digest, read_feed, write_feed
 from .checkout_queries import hmac_sql
@@ -320,6 +321,24 @@ classified AS (SELECT p.*, s.header_row, CASE WHEN p."row" < s.header_row THEN '
   FROM profile p JOIN sheets s USING (file, sheet))"""
 
 
+@query(
+    "cells_read_back",
+    f"""
+SELECT fmt, file, sheet, "row", col, {trim_sql('text')} AS text, "row" AS master_row
+FROM sheet_cells, (SELECT unnest(['parquet', 'csv', 'json']) AS fmt) f""",
+    ("sheet_cells",),
+)
+def cells_read_back(spark, sf):
+    """The cell table stored in every readable format and read again."""
+    stored = _cells(spark, sf).withColumn("row", F.col("row").cast("int")).withColumn("col", F.col("col").cast("int"))
+    parts = []
+    for fmt in ("parquet", "csv", "json"):
+        folder = shared_folder(spark, f"cells-{fmt}")
+        stored.write.options(header="true", escape='"').format(fmt).save(folder)
+        parts.append(read_cells(spark, folder, fmt).withColumn("fmt", F.lit(fmt)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "grid_fill_merges",
     """
@@ -893,8 +912,6 @@ SELECT feed_id, count(DISTINCT (file, sheet, product_key)) AS n_products, count(
 )
 def feed_roundtrip(spark, sf):
     """Publishes every feed as JSON lines and reads it back."""
-    from ..session import shared_folder
-
     made_products, made = _published(spark, sf)
     folder = shared_folder(spark, "feeds")
     metadata = feed.feed_metadata(made_products, "IN", F.lit(STAMP).cast("timestamp"))

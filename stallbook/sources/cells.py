@@ -21,17 +21,12 @@ def cells_from_arrays(rows: DataFrame, values: str = "values") -> DataFrame:
 
 
 def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Cell tables in parquet, csv or json. The file name is taken where the table has none."""
+    """Cell tables in parquet, csv or json; what names no file takes that of its own path."""
+    reader = spark.read.schema(CELL_SCHEMA)
     if fmt == "csv":
-        df = spark.read.schema(CELL_SCHEMA).option("header", "true").csv(path)
-    elif fmt == "json":
-        df = spark.read.schema(CELL_SCHEMA).json(path)
-    else:
-        df = spark.read.format(fmt).load(path)
-    if "file" not in df.columns:
-        df = df.withColumn("file", F.col("_metadata.file_path"))
-    if "master_row" not in df.columns:
-        df = df.withColumn("master_row", F.col("row"))
+        # Surrounding whitespace is trimmed below, by one rule for all formats.
+        reader = reader.options(header="true", escape='"', multiLine="true")
+    df = reader.format(fmt).load(path)
     return df.select(
         F.coalesce("file", F.col("_metadata.file_path")).alias("file"), "sheet", "row", "col",
         as_text("text").alias("text"), F.coalesce("master_row", "row").alias("master_row"),
