@@ -189,7 +189,7 @@ WITH data AS (SELECT merchant_id, file, sheet, "row", headed FROM sheet_parts UN
 sheets AS (SELECT merchant_id, file, sheet, count(*) AS rows_total FROM data GROUP BY ALL),
 named AS (SELECT *, 'job_' || substr(sha256(merchant_id || ' ' || file || '/' || sheet || ' ' || rows_total), 1, 16) AS job_id FROM sheets),
 fresh AS (SELECT * FROM named WHERE job_id NOT LIKE '%7'),
-placed AS (SELECT f.job_id, d."row", (row_number() OVER (PARTITION BY f.job_id ORDER BY d."row") - 1) // 6 AS batch_index FROM fresh f JOIN data d USING (merchant_id, file, sheet))
+placed AS (SELECT f.job_id, d."row", CAST((row_number() OVER (PARTITION BY f.job_id ORDER BY d."row") - 1) // 6 AS INTEGER) AS batch_index FROM fresh f JOIN data d USING (merchant_id, file, sheet))
 SELECT job_id, batch_index, count(*) AS n_rows, min("row") AS first_row, max("row") AS last_row FROM placed GROUP BY ALL""",
     ("sheet_parts",),
 )

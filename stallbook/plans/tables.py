@@ -233,13 +233,13 @@ SELECT p_partkey, sheet_no, 'mer_' || CAST(sheet_no % 7 AS STRING) AS merchant_i
   {STOCK_TEXT} AS stock_text, {PACK_TEXT} AS pack_text, p_brand, p_size, p_name, p_type, p_retailprice
 FROM (SELECT *, CAST((p_partkey - p_partkey % 20) / 20 AS BIGINT) AS sheet_no FROM {{part}}) AS p""",
     "sheet_cells": """
-SELECT file, sheet, "row", col,
+SELECT file, sheet, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col,
   CASE col WHEN 1 THEN item WHEN 2 THEN CASE WHEN sheet_no % 3 = 0 AND "row" > 4 THEN '' ELSE kind END
     WHEN 3 THEN price_text WHEN 4 THEN listed_text WHEN 5 THEN CASE WHEN stocked THEN stock_text ELSE pack_text END
     ELSE CASE WHEN stocked THEN pack_text ELSE '' END END AS text
 FROM (SELECT *, UNROLL(SEQ(1, 6)) AS col FROM {sheet_parts}) AS d
 UNION ALL
-SELECT file, sheet, CASE line WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 22 + line END AS "row", col,
+SELECT file, sheet, CAST(CASE line WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 22 + line END AS INT) AS "row", CAST(col AS INT) AS col,
   CASE line WHEN 1 THEN CASE WHEN col = 1 THEN 'Price list' ELSE '' END
     WHEN 2 THEN CASE WHEN NOT headed THEN '' ELSE CASE col WHEN 1 THEN 'Item' WHEN 2 THEN 'Type' WHEN 3 THEN ' Price '
       WHEN 4 THEN 'MRP' WHEN 5 THEN CASE WHEN stocked THEN 'Stock' ELSE 'Pack Size' END
@@ -254,7 +254,7 @@ FROM (SELECT *, UNROLL(SEQ(1, 6)) AS col
 SELECT DISTINCT file, sheet, 4 AS r1, 2 AS c1, 23 AS r2, 2 AS c2 FROM {sheet_parts} WHERE sheet_no % 3 = 0""",
     # The wire form of readings: pairs for options and attributes.
     "readings": f"""
-SELECT file, sheet, "row" AS source_row, ord,
+SELECT file, sheet, "row" AS source_row, CAST(ord AS INT) AS ord,
   CASE WHEN p_partkey % 31 = 0 THEN '' ELSE p_name END AS title, p_partkey % 31 = 0 AS title_inferred,
   CASE WHEN p_partkey % 37 = 0 THEN 'gadgets' ELSE {CATEGORY} END AS category,
   CASE WHEN p_partkey % 8 = 0 THEN 0.5 ELSE 0.9 END AS category_confidence,
