@@ -49,11 +49,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below spark.checkpoint.dir, the storage all executors see.
 
-    Only where the cluster names none (tests, one machine) a temporary folder of
-    this machine is taken.
+    A session on one machine (tests, the benchmark) may leave the setting out and gets a
+    temporary folder; on a cluster a missing setting is an error, since executors would
+    write to disks that the others cannot read.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
