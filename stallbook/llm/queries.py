@@ -5,15 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import simhash
+from stallbook.llm import decontaminate, ledger, pii, simhash, urls
 from stallbook.llm.base import given
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of `benchmark` contained in `documents`: 80 % of the five-word shingles or more."""
+    found = decontaminate.contained_items(given(spark, folder, "documents"), given(spark, folder, "benchmark"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements and verdicts of every document under the current policy."""
+    rows = ledger.ledger(given(spark, folder, "documents"))
+    rows = ledger.apply_policy(ledger.apply_policy(rows, ledger.BASE, name="base_kept"), ledger.CURRENT)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (~F.col("base_kept")).alias("base_failed"), "kept", "failed")
+
+
+def _listed(spans, kinds: list[str]):
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(F.filter(spans, lambda s: s["kind"].isin(kinds)), text), ",")
+
+
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and places of personal data in every document."""
+    found = pii.find_spans(given(spark, folder, "documents").select("doc_id", "text"))
+    base = [k.name for k in pii.KINDS if k.base]
+    spans = F.col("pii_spans")
+    counts = [F.size(F.filter(spans, _of_kind(k))).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(_listed(spans, base), 256).alias("base_sha256"),
+                        _listed(spans, [k.name for k in pii.KINDS]).alias("spans"))
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page."""
+    judged = urls.judge_pages(given(spark, folder, "pages"), urls.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates of `documents` by SimHash: three-word shingles, links at three bits or fewer."""
     found = simhash.near_duplicates(given(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash": op10_simhash}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
+    "op9_url_filter": op9_url_filter,
+    "op10_simhash": op10_simhash,
+}
 CHECKS: dict[str, str] = {}
