@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same class for DuckDB's regular expressions.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
+#: Bits of a filter that goes to the tasks: 1 MiB, whatever the number of hashes in it.
+FILTER_BITS = 1 << 23
+
 #: Texts are handled in slices of about this many bytes, so that memory follows the longest text and not the batch.
 SLICE_BYTES = 4 << 20
 
@@ -87,3 +90,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
     parts = (data[np.repeat(starts, sizes) + at].astype(np.uint64) + np.uint64(1)) * powers[at]
     return mix(np.add.reduceat(parts, np.cumsum(sizes) - sizes))
+
+
+def _probes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (value & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((value >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits with two probes a hash, built by an aggregate of at most FILTER_BITS / 32 rows."""
+    probes = F.array(F.col("hash").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(FILTER_BITS - 1))
+    bits = hashes.select(F.explode(probes).alias("at")).select(F.shiftright("at", 5).alias("word"), F.expr("shiftleft(1L, cast(at & 31 as int))").alias("bit"))
+    parts = np.zeros(FILTER_BITS // 32, np.uint32)
+    for row in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        parts[row["word"]] = row["bits"]
+    return parts
+
+
+def passes(parts: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where the values may be in the filter."""
+    a, b = _probes(value)
+    hit = np.flatnonzero((parts[a >> 5] >> (a & 31).astype(np.uint32)) & np.uint32(1))
+    b = b[hit]
+    return hit[((parts[b >> 5] >> (b & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)]

@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallbook.llm.base import LOWER, mix, slices, utf8, word_hashes, words
+from stallbook.llm.base import LOWER, hash_filter, mix, passes, slices, utf8, word_hashes, words
 from stallbook.session import written
 
-#: Bits of each filter that goes to the tasks: 1 MiB, whatever the number of items.
-FILTER_BITS = 1 << 23
 SIZE = 5
 PERCENT = 80
 
@@ -62,27 +60,6 @@ def item_shingles(items: DataFrame, percent: int = PERCENT, size: int = SIZE, it
     return rows.join(sizes, "item_id").select("item_id", "shingle", "hash", "n_item", (F.col("hash") <= F.col("last")).alias("in_sketch"))
 
 
-def _probes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (value & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((value >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits with two probes a hash, built by an aggregate of at most FILTER_BITS / 32 rows."""
-    probes = F.array(F.col("hash").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(FILTER_BITS - 1))
-    bits = hashes.select(F.explode(probes).alias("at")).select(F.shiftright("at", 5).alias("word"), F.expr("shiftleft(1L, cast(at & 31 as int))").alias("bit"))
-    parts = np.zeros(FILTER_BITS // 32, np.uint32)
-    for row in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        parts[row["word"]] = row["bits"]
-    return parts
-
-
-def _passes(parts: np.ndarray, value: np.ndarray) -> np.ndarray:
-    a, b = _probes(value)
-    hit = np.flatnonzero((parts[a >> 5] >> (a & 31).astype(np.uint32)) & np.uint32(1))
-    b = b[hit]
-    return hit[((parts[b >> 5] >> (b & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)]
-
-
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, size: int = SIZE,
                     doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) where at least `percent` % of the distinct shingles of an item are in a document.
@@ -107,8 +84,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, s
             data = LOWER[data]
             of, first, value, starts, ends = shingles(data, borders, size)
             candidate = np.zeros(part.num_rows, bool)
-            candidate[of[_passes(sketches.value, value)]] = True
-            hits = _passes(everything.value, value)
+            candidate[of[passes(sketches.value, value)]] = True
+            hits = passes(everything.value, value)
             hits = hits[candidate[of[hits]]]
             if len(hits):
                 once = np.unique(np.stack((of[hits].astype(np.uint64), value[hits])), axis=1, return_index=True)[1]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import decontaminate, ledger, pii, simhash, urls
+from stallbook.llm import bpe, decontaminate, langid, ledger, pii, simhash, urls
 from stallbook.llm.base import given
 
 
+#: The rank file of the queries; its place is a parameter.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Items of `benchmark` contained in `documents`: 80 % of the five-word shingles or more."""
     found = decontaminate.contained_items(given(spark, folder, "documents"), given(spark, folder, "benchmark"))
@@ -42,6 +47,21 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
                         _listed(spans, [k.name for k in pii.KINDS]).alias("spans"))
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Ids of every document under a public byte-level vocabulary, and the bytes they decode to."""
+    got = bpe.encode(given(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN, decode=True)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; a third of them is held out of training."""
+    docs = given(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page."""
     judged = urls.judge_pages(given(spark, folder, "pages"), urls.RULES)
@@ -58,6 +78,8 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
