@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import bpe, decontaminate, langid, ledger, pii, simhash, urls
+from stallbook.llm import bpe, decontaminate, kneser_ney, langid, ledger, pii, simhash, urls
 from stallbook.llm.base import given
 
 
@@ -55,6 +55,11 @@ def op6_byte_bpe(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY)
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of every document and whether it is kept."""
+    return kneser_ney.classify(given(spark, folder, "documents"), given(spark, folder, "labels")).drop("key")
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document; a third of them is held out of training."""
     docs = given(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -79,6 +84,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
