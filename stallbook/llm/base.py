@@ -92,23 +92,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(parts, np.cumsum(sizes) - sizes))
 
 
-def _probes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (value & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((value >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits with two probes a hash, built by an aggregate of at most FILTER_BITS / 32 rows."""
-    probes = F.array(F.col("hash").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(FILTER_BITS - 1))
+def hash_filter(hashes: DataFrame, n_bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of n_bits bits, two for each hash, built by an aggregate of at most n_bits / 32 rows."""
+    probes = F.array(F.col("hash").bitwiseAND(n_bits - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(n_bits - 1))
     bits = hashes.select(F.explode(probes).alias("at")).select(F.shiftright("at", 5).alias("word"), F.expr("shiftleft(1L, cast(at & 31 as int))").alias("bit"))
-    parts = np.zeros(FILTER_BITS // 32, np.uint32)
-    for row in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        parts[row["word"]] = row["bits"]
+    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    parts = np.zeros(n_bits // 32, np.uint32)
+    parts[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return parts
 
 
 def passes(parts: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Where the values may be in the filter."""
-    a, b = _probes(value)
-    hit = np.flatnonzero((parts[a >> 5] >> (a & 31).astype(np.uint32)) & np.uint32(1))
-    b = b[hit]
-    return hit[((parts[b >> 5] >> (b & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)]
+    mask = np.uint64(32 * len(parts) - 1)
+    at = np.arange(len(value))
+    for shift in (0, 32):
+        bit = ((value[at] >> np.uint64(shift)) & mask).astype(np.int64)
+        at = at[((parts[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)]
+    return at

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import bpe, decontaminate, kneser_ney, langid, ledger, pii, simhash, urls
+from stallbook.llm import bpe, decontaminate, kneser_ney, langid, ledger, pii, simhash, suffixes, urls
 from stallbook.llm.base import given
 
 
@@ -20,6 +20,13 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the strings of 200 bytes that also start elsewhere."""
+    got = suffixes.remove_repeats(given(spark, folder, "documents"))
+    return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measurements and verdicts of every document under the current policy."""
     rows = ledger.ledger(given(spark, folder, "documents"))
@@ -81,6 +88,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
