@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import bpe, decontaminate, kneser_ney, langid, ledger, pii, simhash, suffixes, urls
+from stallbook.llm import bpe, decontaminate, kneser_ney, langid, ledger, pii, simhash, suffixes, urls, wrappers
 from stallbook.llm.base import given
 
 
@@ -20,6 +20,12 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    got = wrappers.extract_main_text(given(spark, folder, "pages"))
+    return got.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the strings of 200 bytes that also start elsewhere."""
     got = suffixes.remove_repeats(given(spark, folder, "documents"))
@@ -88,6 +94,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
