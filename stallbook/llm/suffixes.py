@@ -241,6 +241,8 @@ def _segment(batches: Iterator[pa.RecordBatch], often, hot, window: int) -> Iter
                 content = raw[x:y + window]
                 n = seen[content] = seen.get(content, 0) + 1
                 route = int.from_bytes(blake2b(content, digest_size=8).digest(), "little", signed=True) if alone else k
+                if n > 2:  # settled: goes where its document does, not where its equals are
+                    route = int.from_bytes(ids[t][:8], "little", signed=True)
                 out.append((route, ids[t], x - origin, y + window - origin, content if n < 3 else None))
                 held += len(content) if n == 1 else 0
             if held > 64 << 20:
