@@ -233,18 +233,19 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc
         F.min(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).where("quality = 1 and toxic = 0")
     trusted = written(good.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("held_out")), "trusted")
     model = written(count_grams(_among(rows, trusted.where("not held_out").select("doc_id"))), "model")
-    scored = log_probabilities(model, count_grams(rows))
+    scored = log_probabilities(model, written(count_grams(rows).select("gram"), "grams"))
     sums = written(sum_log_probabilities(rows.withColumn("key", row_key("doc_id", "lang", "text")), scored), "sums")
 
     held = sums.join(trusted.where("held_out").select("doc_id"), "doc_id").where("n_chars > 0").select(
         F.explode(F.array(F.struct(F.coalesce("lang", F.lit("\1"))), F.struct(F.lit("\0")))).alias("g"), "n_chars", "logp").select("g.*", "n_chars", "logp").toDF("group", "n_chars", "logp")
-    means = held.groupBy("group").agg((-F.sum("logp") / F.sum("n_chars")).alias("mean"))
+    # Written tables have a known size: what has a row a language is sent to the rows, not dealt with them by language.
+    means = written(held.groupBy("group").agg((-F.sum("logp") / F.sum("n_chars")).alias("mean")), "means")
     drawn = (-F.col("logp") + PRIOR_CHARS * F.col("mean")) / (F.col("n_chars") + PRIOR_CHARS)
     # The quantile is read off a histogram in steps of 0.001, which is small and the same in any order of rows.
     steps = held.join(means, "group").groupBy("group", "mean", F.ceil(drawn * 1000).alias("step")).count()
     total = steps.groupBy("group").agg(F.sum("count").alias("all"))
     below = steps.join(total, "group").withColumn("upto", F.expr("sum(count) over (partition by group order by step)"))
-    limits = below.where(F.col("upto") >= F.col("all") * quantile).groupBy("group", "mean").agg((F.min("step") / 1000).alias("limit"))
+    limits = written(below.where(F.col("upto") >= F.col("all") * quantile).groupBy("group", "mean").agg((F.min("step") / 1000).alias("limit")), "limits")
     every = limits.where("group = '\0'").agg(F.first("mean").alias("mean"), F.first("limit").alias("limit")).first()
     own = limits.where("group <> '\0'").select(F.col("group"), F.col("mean").alias("own_mean"), F.col("limit").alias("own_limit"))
     number = lambda x: F.lit(x).cast("double")
