@@ -22,8 +22,6 @@ _THOUSANDS = rf"(?i)^([\d.,]+)[{WS}]*k\z"
 _NUMBER = r"(\d+(?:\.\d{1,10})?)"
 _RATE_UNIT = rf"(?i)(?:/|{WORD_START}per{WORD_END})[{WS}]*([A-Za-z]+)"
 
-_LARGEST = 9223372036854775807
-
 
 def rate_unit(c: Column | str) -> Column:
     """Unit the price is quoted per, verbatim: `₹ 100/Kg` -> Kg. `1,299/-` -> NULL."""
@@ -35,10 +33,9 @@ def is_price_range(c: Column | str) -> Column:
 
 
 def _scaled(number: Column, factor: int) -> Column:
-    # 18 whole digits fit; longer digit runs are no price and saturate, so that
-    # the plausibility band still reports them.
+    # 18 whole digits fit; longer digit runs are no price and have no amount.
     exact = F.round(number.try_cast("decimal(28,10)") * F.lit(factor), 0)
-    return F.when(number != "", F.coalesce(exact.try_cast("bigint"), F.lit(_LARGEST)))
+    return F.when(number != "", exact.try_cast("bigint"))
 
 
 def to_minor(token: Column) -> Column:
@@ -91,6 +88,7 @@ def with_price(df: DataFrame, source: str, target: str) -> DataFrame:
     minor = F.col(f"{t('price')}.minor")
     reference = F.col(f"{t('reference')}.minor")
     readable = ~is_range & minor.isNotNull()
+    too_long = minor.isNull() & F.col(f"{t('split')}.token").rlike(r"\d{18}")
     flags = (
         F.when(text == "", F.array(F.lit("MISSING_REQUIRED_FIELD")))
         .when(is_range, F.array(F.lit("PRICE_AMBIGUOUS")))
@@ -98,10 +96,10 @@ def with_price(df: DataFrame, source: str, target: str) -> DataFrame:
             F.array_compact(
                 F.array(
                     F.when(~text.rlike(_CURRENCY), F.lit("CURRENCY_ASSUMED")),
-                    F.when(minor.isNull(), F.lit("MISSING_REQUIRED_FIELD")),
+                    F.when(minor.isNull() & ~too_long, F.lit("MISSING_REQUIRED_FIELD")),
                     F.when(minor.isNotNull() & F.col(f"{t('price')}.imprecise"), F.lit("PRICE_AMBIGUOUS")),
                     F.when(
-                        ~minor.between(MIN_PLAUSIBLE_MINOR, MAX_PLAUSIBLE_MINOR),
+                        too_long | ~minor.between(MIN_PLAUSIBLE_MINOR, MAX_PLAUSIBLE_MINOR),
                         F.lit("PRICE_OUT_OF_BAND"),
                     ),
                 )

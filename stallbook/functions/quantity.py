@@ -62,10 +62,11 @@ def parse_stock(c: Column | str) -> Column:
     """Stock text -> struct(availability, inventory_count); unreadable is unknown."""
     text = as_text(c)
     digits = F.regexp_extract(text, _COUNT, 1)
-    # More digits than a BIGINT holds saturate; the sign of the answer is kept.
-    count = F.when(digits != "", F.coalesce(digits.try_cast("bigint"), F.lit(9223372036854775807)))
+    # More digits than a BIGINT holds: in stock, in a number that is not stated.
+    count = F.when(digits != "", digits.try_cast("bigint"))
+    countless = (digits != "") & count.isNull()
     availability = (
-        F.when(count > 0, "in_stock")
+        F.when((count > 0) | countless, "in_stock")
         .when(count.isNotNull(), "out_of_stock")
         .when(text.rlike(_OUT), "out_of_stock")
         .when(text.rlike(_IN), "in_stock")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.digest import sha256_hex
 from ..functions.text import bearer
 
-PAGE_MIN, PAGE_MAX = 15, 200
-
 
 def check_explained(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected): a refusal must carry a code and a text."""
@@ -61,7 +59,8 @@ def session_list(sessions: DataFrame, events: DataFrame, lines: DataFrame) -> Da
 
 def session_page(listed: DataFrame, which: str, limit: int, now: Column) -> DataFrame:
     """One page, newest first, with one row more than asked for to tell whether more exist."""
-    limit = min(max(int(limit), PAGE_MIN), PAGE_MAX)
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     if which == "refused":
         listed = listed.where("refusals > 0")
     elif which == "today":

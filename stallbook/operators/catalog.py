@@ -33,11 +33,20 @@ def upsert_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def rows_written(incoming: DataFrame) -> DataFrame:
+    """How many rows a publish wrote per merchant: both copies of a variant published twice count."""
+    return incoming.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("rows_written"))
+
+
 def patch_catalog(current: DataFrame, changes: DataFrame, field: str, now: str) -> DataFrame:
-    """One attribute (price_minor or availability) replaced where a change names the row."""
+    """One attribute (price_minor or availability) replaced where a change names the row.
+
+    Of several changes of a row the last one (largest `ord`) counts.
+    """
     if field not in ("price_minor", "availability"):
         raise ValueError(f"{field} is not a patchable attribute")
-    patched = current.join(changes.select(*KEY, F.col(field).alias("new_value")), KEY, "left")
+    last = changes.groupBy(*KEY).agg(F.max_by(field, "ord").alias("new_value"))
+    patched = current.join(last, KEY, "left")
     changed = F.col("new_value").isNotNull()
     return patched.withColumn(
         "updated_at", F.when(changed, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))

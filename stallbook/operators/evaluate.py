@@ -184,7 +184,7 @@ def run_history(runs: DataFrame) -> DataFrame:
     )
     return placed.join(before, ["suite", "place"], "left").select(
         "suite", F.col("place").alias("run"), "run_date", "model_served",
-        F.left("prompt_sha256", F.lit(12)).alias("prompt"), "ok", "total",
+        F.col("prompt_sha256").alias("prompt"), "ok", "total",
         F.round(F.col("ok") * 100 / F.col("total"), 0).cast("int").alias("percent"),
         (F.col("ok") - F.col("ok_before")).alias("ok_change"),
         (F.col("total") - F.col("total_before")).alias("total_change"),
@@ -213,7 +213,7 @@ def latency_summary(calls: DataFrame) -> DataFrame:
 
 
 def failure_reasons(calls: DataFrame) -> DataFrame:
-    """Rows lost per reason, the reason being the first 80 characters of the error."""
-    return calls.where("error IS NOT NULL").groupBy(F.left("error", F.lit(80)).alias("reason")).agg(
+    """Rows lost per reason, the reason being the whole error."""
+    return calls.where("error IS NOT NULL").groupBy(F.col("error").alias("reason")).agg(
         F.sum("size").alias("n_rows"), F.count(F.lit(1)).alias("n_calls")
     )

@@ -12,9 +12,6 @@ from ..functions.text import is_absolute_url, label
 from .normalize import PRODUCT_KEY
 
 _PRODUCT = ["merchant_id", *PRODUCT_KEY, "product_id"]
-# Variants one feed line carries at most. A larger product goes out as several
-# lines with the same product id, so that no task has to hold all of it.
-LINE_VARIANTS = 10_000
 
 
 def _price(amount: Column, currency: Column) -> Column:
@@ -84,22 +81,15 @@ def feed_variants(products: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def project_products(products: DataFrame, variants: DataFrame) -> DataFrame:
-    """Feed lines: one product with its published variants, in sheet order.
+    """Feed lines: one line per product with its published variants, in sheet order.
 
-    A product above LINE_VARIANTS is spread over several lines with its id.
+    A line is one record of the feed format; it holds the variants of one product.
     """
-    flat = feed_variants(products, variants)
-    sizes = flat.groupBy(*_PRODUCT).agg(F.count(F.lit(1)).alias("n_served"))
-    pieces = F.ceil(F.col("n_served") / F.lit(LINE_VARIANTS))
-    heads = products.join(sizes, _PRODUCT)
-    numbered = flat.join(heads.select(*_PRODUCT, pieces.alias("pieces")), _PRODUCT).withColumn(
-        "line_no", F.pmod(F.xxhash64(F.col("variant.id"), "row", "option_ord"), F.col("pieces"))
-    )
-    lines = numbered.groupBy("feed_id", *_PRODUCT, "line_no").agg(
+    lines = feed_variants(products, variants).groupBy("feed_id", *_PRODUCT).agg(
         F.array_sort(F.collect_list(F.struct("row", "option_ord", "variant"))).alias("ordered")
     )
-    return lines.join(heads, _PRODUCT).select(
-        "feed_id", "merchant_id", *PRODUCT_KEY, "line_no",
+    return lines.join(products, _PRODUCT).select(
+        "feed_id", "merchant_id", *PRODUCT_KEY,
         F.get("ordered", F.lit(0))["row"].alias("first_row"),
         F.struct(
             F.col("product_id").alias("id"),
@@ -224,11 +214,24 @@ def check_feed(lines: DataFrame) -> DataFrame:
     )
 
 
+def check_metadata(metadata: DataFrame) -> DataFrame:
+    """Violations of the feed's own record: it needs an id, and a country of two capital letters if it names one."""
+    found = F.array_compact(F.array(
+        F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.struct(F.lit("id").alias("path"), F.lit("is required").alias("message"))),
+        F.when(~F.col("target_country").rlike(r"^[A-Z]{2}\z"), F.struct(F.lit("target_country").alias("path"), F.lit("is not two capital letters").alias("message"))),
+    ))
+    return metadata.select(F.col("id").alias("feed_id"), F.lit(None).cast("string").alias("id"), F.explode(found).alias("v")).select(
+        "feed_id", "id", "v.path", "v.message"
+    )
+
+
 def discover(lines: DataFrame, query: str | None = None, limit: int = 20) -> tuple[DataFrame, DataFrame]:
     """(matches count, first matches) of a case-insensitive title search in a feed.
 
     Availability has three states: a feed without it says unknown, not sold out.
     """
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     flat = lines.select("feed_id", "product", F.explode("product.variants").alias("v"))
     available = F.col("v.availability.available")
     found = flat.select(
@@ -243,7 +246,7 @@ def discover(lines: DataFrame, query: str | None = None, limit: int = 20) -> tup
     if query:
         found = found.where(F.contains(F.lower("title"), F.lit(query.lower())))
     count = found.agg(F.count(F.lit(1)).alias("n_matched"))
-    return count, found.orderBy("feed_id", "id").limit(min(limit, 100))
+    return count, found.orderBy("feed_id", "id").limit(limit)
 
 
 def feed_catalog_diff(feed: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.digest import job_id
 from ..functions.fixed import CLAIM_TIMEOUT_MINUTES
 from ..functions.options import semantic_cells
-from ..functions.text import classify_failure, first_characters
+from ..functions.text import classify_failure
 from .grid import chunk, find_field
 from .normalize import assembled_variants, products
 
@@ -88,7 +88,7 @@ def apply_results(
             "reason_code": F.when(tried & error.isNotNull(), classify_failure(error)).when(
                 done, F.lit(None).cast("string")
             ).otherwise(F.col("reason_code")),
-            "reason_human": F.when(tried & error.isNotNull(), first_characters(error, 500)).when(
+            "reason_human": F.when(tried & error.isNotNull(), error).when(
                 done, F.lit(None).cast("string")
             ).otherwise(F.col("reason_human")),
         }

@@ -11,7 +11,7 @@ from ..operators import catalog, feed, grid, normalize
 from ..session import shared_folder, written
 from ..sources.cells import read_cells
 from ..sources.readings import read_extractions
-from ..sources.tables import feed_digest, read_feed, write_feed
+from ..sources.tables import feed_digest, publish, read_feed, write_feed
 from .checkout_queries import hmac_sql
 from .tables import table, with_tables
 
@@ -335,7 +335,7 @@ def cells_read_back(spark, sf):
     for fmt in ("parquet", "csv", "json"):
         folder = shared_folder(spark, f"cells-{fmt}")
         stored.write.options(header="true", escape='"').format(fmt).save(folder)
-        parts.append(read_cells(spark, folder, fmt).withColumn("fmt", F.lit(fmt)))
+        parts.append(read_cells(spark, folder, fmt, line_breaks=True).withColumn("fmt", F.lit(fmt)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -892,7 +892,8 @@ def feed_catalog_diff(spark, sf):
 WITH lines AS (SELECT merchant_id AS feed_id, CAST(substr(variant_id, 5) AS BIGINT) AS ord, title || ' ' || price_minor AS line FROM catalog),
 placed AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY ord) - 1 AS pos FROM lines),
 blocks AS (SELECT feed_id, pos // 4096 AS block, sha256(string_agg(line, chr(10) ORDER BY pos)) AS h FROM placed GROUP BY ALL),
-tops AS (SELECT feed_id, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, chr(10) ORDER BY block)) END AS h FROM blocks GROUP BY 1)
+middle AS (SELECT feed_id, block // 4096 AS block, sha256(string_agg(h, chr(10) ORDER BY block)) AS h FROM blocks GROUP BY feed_id, block // 4096),
+tops AS (SELECT feed_id, sha256(string_agg(h, chr(10) ORDER BY block)) AS h FROM middle GROUP BY feed_id, block // 4096)
 SELECT feed_id, substr(h, 1, 32) AS digest FROM tops""",
     ("catalog",),
 )
@@ -924,6 +925,49 @@ def feed_roundtrip(spark, sf):
     return counted.join(stored.select("feed_id", "target_country"), "feed_id")
 
 
+def _feed_counts(spark, folder):
+    lines, _ = read_feed(spark, folder)
+    return lines.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n_products"))
+
+
+@query(
+    "feed_republish",
+    "WITH " + FEED_SQL.strip() + """
+SELECT feed_id, count(DISTINCT (file, sheet, product_key)) AS n_products FROM served
+WHERE feed_id <> (SELECT min(feed_id) FROM served) GROUP BY 1""",
+    NORM_TABLES,
+)
+def feed_republish(spark, sf):
+    """All feeds published, then published again with everything of the first one withheld: it ends empty."""
+    made_products, made = _published(spark, sf)
+    folder = shared_folder(spark, "feeds")
+    metadata = feed.feed_metadata(made_products, "IN", F.lit(STAMP).cast("timestamp"))
+    lines = written(feed.project_products(made_products, made), "lines")
+    write_feed(lines, metadata, folder)
+    first = lines.agg(F.min("feed_id").alias("first"))
+    write_feed(lines.join(first, F.col("feed_id") != F.col("first")).drop("first"), metadata, folder)
+    return _feed_counts(spark, folder)
+
+
+@query(
+    "feed_publish_gate",
+    "WITH " + FEED_SQL.strip() + """
+SELECT feed_id, count(DISTINCT (file, sheet, product_key)) AS n_products FROM served
+WHERE feed_id <> (SELECT max(feed_id) FROM served) GROUP BY 1""",
+    NORM_TABLES,
+)
+def feed_publish_gate(spark, sf):
+    """All feeds go through the publish gate; one names a country that is none and is not published."""
+    made_products, made = _published(spark, sf)
+    folder = shared_folder(spark, "feeds")
+    lines = written(feed.project_products(made_products, made), "lines")
+    last = lines.agg(F.max("feed_id").alias("last"))
+    metadata = feed.feed_metadata(made_products, "IN", F.lit(STAMP).cast("timestamp")).join(last, F.col("id") == F.col("last"), "left")
+    country = F.when(F.col("last").isNotNull(), "india").otherwise(F.col("target_country"))
+    publish(lines, metadata.withColumn("target_country", country).drop("last"), folder)
+    return _feed_counts(spark, folder)
+
+
 @query(
     "catalog_publish",
     "WITH " + FEED_SQL.strip() + """,

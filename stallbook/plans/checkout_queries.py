@@ -199,7 +199,7 @@ said AS (SELECT session_id, string_agg(CASE error WHEN 'unknown_item' THEN 'No s
   WHEN 'out_of_stock' THEN title || ' is out of stock' ELSE 'Quantity must be a whole number between 1 and 99' END, '; ' ORDER BY pos) AS m
   FROM lines WHERE error IS NOT NULL GROUP BY 1),
 counted AS (SELECT session_id, count(*) AS n FROM requested GROUP BY 1)
-SELECT c.session_id, c.merchant_id, 0 AS part, 'agent' AS actor, 'session.create' AS action,
+SELECT c.session_id, c.merchant_id, 'agent' AS actor, 'session.create' AS action,
   CASE WHEN payable THEN 'allowed' ELSE 'refused' END AS outcome, cart_status AS session_status_at_event,
   CASE WHEN NOT payable THEN 'CART_NOT_PAYABLE' END AS reason_code,
   CASE WHEN NOT payable THEN coalesce(m, 'The cart is not payable as it stands') END AS reason_human,
@@ -655,17 +655,47 @@ def catalog_upsert(spark, sf):
 WITH changes AS ({_CHANGES_CHECK})
 SELECT c.merchant_id, c.variant_id, coalesce(k.price_minor, c.price_minor) AS price_minor,
   CASE WHEN k.price_minor IS NULL THEN c.updated_at ELSE TIMESTAMP '{NOW}' END AS updated_at
-FROM catalog c LEFT JOIN (SELECT DISTINCT merchant_id, variant_id, price_minor FROM changes) k
+FROM catalog c LEFT JOIN (SELECT merchant_id, variant_id, arg_max(price_minor + copy, copy) AS price_minor FROM changes GROUP BY ALL) k
   ON c.merchant_id = k.merchant_id AND c.variant_id = k.variant_id""",
     ("catalog",),
 )
 def catalog_patch_price(spark, sf):
-    changes = _changes(spark, sf).select("merchant_id", "variant_id", "price_minor").distinct()
+    """Prices patched by changes of which several name one row."""
+    changes = _changes(spark, sf).select(
+        "merchant_id", "variant_id", (F.col("price_minor") + F.col("copy")).cast("bigint").alias("price_minor"), F.col("copy").alias("ord")
+    )
     return catalog.patch_catalog(table(spark, sf, "catalog"), changes, "price_minor", NOW).select(
         "merchant_id", "variant_id", "price_minor", "updated_at"
     )
 
 
+@query(
+    "catalog_patch_availability",
+    f"""
+WITH changes AS ({_CHANGES_CHECK})
+SELECT c.merchant_id, c.variant_id, CASE WHEN k.copy IS NULL THEN c.availability WHEN k.copy % 2 = 0 THEN 'out_of_stock' ELSE 'unknown' END AS availability
+FROM catalog c LEFT JOIN (SELECT merchant_id, variant_id, max(copy) AS copy FROM changes GROUP BY ALL) k
+  ON c.merchant_id = k.merchant_id AND c.variant_id = k.variant_id""",
+    ("catalog",),
+)
+def catalog_patch_availability(spark, sf):
+    """Availability patched by changes of which several name one row."""
+    changes = _changes(spark, sf).select(
+        "merchant_id", "variant_id", F.when(F.col("copy") % 2 == 0, "out_of_stock").otherwise("unknown").alias("availability"), F.col("copy").alias("ord")
+    )
+    return catalog.patch_catalog(table(spark, sf, "catalog"), changes, "availability", NOW).select("merchant_id", "variant_id", "availability")
+
+
+@query(
+    "catalog_publish_count",
+    f"WITH changes AS ({_CHANGES_CHECK}) SELECT merchant_id, count(*) AS rows_written FROM changes GROUP BY 1",
+    ("catalog",),
+)
+def catalog_publish_count(spark, sf):
+    """Rows a publish writes; both copies of a variant published twice count."""
+    return catalog.rows_written(_changes(spark, sf))
+
+
 @query(
     "catalog_lookup",
     """

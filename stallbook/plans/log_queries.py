@@ -96,8 +96,8 @@ def audit_session_list(spark, sf):
 @query(
     "audit_session_page",
     "WITH " + LIST_SQL.strip() + """
-(SELECT 'all' AS which, * FROM listed ORDER BY updated_at DESC, session_id LIMIT 201) UNION ALL
-(SELECT 'refused' AS which, * FROM listed WHERE refusals > 0 ORDER BY updated_at DESC, session_id LIMIT 16) UNION ALL
+(SELECT 'all' AS which, * FROM listed ORDER BY updated_at DESC, session_id LIMIT 5001) UNION ALL
+(SELECT 'refused' AS which, * FROM listed WHERE refusals > 0 ORDER BY updated_at DESC, session_id LIMIT 2) UNION ALL
 (SELECT 'today' AS which, * FROM listed WHERE updated_at >= TIMESTAMP '1998-01-01 00:00:00' ORDER BY updated_at DESC, session_id LIMIT 51)""",
     LIST_TABLES,
 )
@@ -225,7 +225,7 @@ def _applied(spark, sf):
     state = table(spark, sf, "jobs")
     for name in ("model_requested", "model_served", "prompt_sha256"):
         state = state.withColumn(name, F.lit(None).cast("string"))
-    rows = table(spark, sf, "job_rows").dropDuplicates(["job_id", "source_row", "reading"])
+    rows = table(spark, sf, "job_rows")
     readings = rows.where("source_row % 2 = 0").select("job_id", "source_row", F.lit("new").alias("reading"), F.lit(1).alias("ord"))
     return jobs.apply_results(
         state, table(spark, sf, "batches"), rows, readings, table(spark, sf, "outcomes"), F.lit(NOW).cast("timestamp")
@@ -266,8 +266,7 @@ def jobs_applied_jobs(spark, sf):
 @query(
     "jobs_applied_rows",
     """
-WITH rows_ AS (SELECT DISTINCT job_id, source_row, reading FROM job_rows)
-SELECT job_id, source_row, CASE WHEN source_row % 2 = 0 THEN 'new' ELSE reading END AS reading FROM rows_""",
+SELECT job_id, source_row, CASE WHEN source_row % 2 = 0 THEN 'new' ELSE reading END AS reading FROM job_rows""",
     ("job_rows",),
 )
 def jobs_applied_rows(spark, sf):
@@ -601,7 +600,7 @@ SELECT c_mktsegment AS suite, c_custkey AS run_no, CAST(DATE '2024-01-01' + CAST
 @query(
     "eval_run_history",
     "WITH runs AS (" + RUNS_SQL.replace("{customer}", "customer") + """)
-SELECT suite, row_number() OVER w AS run, run_date, model_served, substr(prompt_sha256, 1, 12) AS prompt, ok, total, CAST(round(ok * 100 / total) AS INTEGER) AS percent,
+SELECT suite, row_number() OVER w AS run, run_date, model_served, prompt_sha256 AS prompt, ok, total, CAST(round(ok * 100 / total) AS INTEGER) AS percent,
   ok - lag(ok) OVER w AS ok_change, total - lag(total) OVER w AS total_change, note FROM runs WINDOW w AS (PARTITION BY suite ORDER BY run_no)""",
 )
 def eval_run_history(spark, sf):
@@ -636,7 +635,7 @@ def eval_latency(spark, sf):
 @query(
     "eval_failure_reasons",
     "WITH calls AS (" + CALLS_SQL.replace("{customer}", "customer") + """)
-SELECT substr(error, 1, 80) AS reason, sum(size)::BIGINT AS n_rows, count(*) AS n_calls FROM calls WHERE error IS NOT NULL GROUP BY 1""",
+SELECT error AS reason, sum(size)::BIGINT AS n_rows, count(*) AS n_calls FROM calls WHERE error IS NOT NULL GROUP BY 1""",
 )
 def eval_failure_reasons(spark, sf):
     return evaluate.failure_reasons(spark.sql(CALLS_SQL, customer=table(spark, sf, "customer")))

@@ -209,7 +209,7 @@ SELECT 'job_' || CAST(o_custkey AS STRING) AS job_id, o_orderkey AS batch_index,
 FROM {orders}""",
     "job_rows": """
 SELECT 'job_' || CAST(o_custkey AS STRING) AS job_id, l_orderkey AS batch_index,
-  l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey % 100000 AS source_row,
+  l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS source_row,
   CASE WHEN l_returnflag = 'A' THEN NULL ELSE 'read ' || l_linestatus END AS reading
 FROM {lineitem} AS l JOIN {orders} AS o ON l.l_orderkey = o.o_orderkey""",
     "outcomes": """
@@ -307,19 +307,6 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-# Tables whose rows cost much to make or to parse.
-COSTLY = {"sheet_parts", "doc_lines", "raw_events", "payments", "mandates", "catalog"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when their files give fewer splits than there are cores.
-
-    Large inputs have more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A domain table (or a given one) as a DataFrame."""
     configure(spark)
@@ -327,8 +314,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return given(spark, folder, name)
     sql = SPLIT_TABLES[name][0] if name in SPLIT_TABLES else _spark_text(TABLES[name])
     parts = {n: table(spark, folder, n) for n in _names(sql)}
-    if name in COSTLY:
-        parts = {n: spread(df) if n in GIVEN else df for n, df in parts.items()}
     return spark.sql(sql, **parts)
 
 

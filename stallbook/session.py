@@ -7,19 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings; safe to set on a session somebody else created.
+# The settings that results depend on; all else is up to whoever made the session.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated header or option name keeps its last value.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Left rows of one hot key are split over tasks at run time, also where a
-    # later exchange has to be added for it.
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
 }
 
 

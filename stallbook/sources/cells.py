@@ -20,12 +20,15 @@ def cells_from_arrays(rows: DataFrame, values: str = "values") -> DataFrame:
     )
 
 
-def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Cell tables in parquet, csv or json; what names no file takes that of its own path."""
+def read_cells(spark: SparkSession, path: str, fmt: str = "parquet", line_breaks: bool = False) -> DataFrame:
+    """Cell tables in parquet, csv or json; what names no file takes that of its own path.
+
+    line_breaks: CSV cells may hold line breaks; each file is then read by one task.
+    """
     reader = spark.read.schema(CELL_SCHEMA)
     if fmt == "csv":
         # Surrounding whitespace is trimmed below, by one rule for all formats.
-        reader = reader.options(header="true", escape='"', multiLine="true")
+        reader = reader.options(header="true", escape='"', multiLine=str(line_breaks).lower())
     df = reader.format(fmt).load(path)
     return df.select(
         F.coalesce("file", F.col("_metadata.file_path")).alias("file"), "sheet", "row", "col",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.feed import check_feed, check_metadata
 from ..operators.ranking import position_of_distinct
 
 PRICE = "struct<amount:bigint,currency:string>"
@@ -16,25 +17,43 @@ PRODUCT_SCHEMA = (
     "categories:array<struct<value:string,taxonomy:string>>,"
     f"variant_options:array<struct<name:string,value:string>>,media:{MEDIA}>>"
 )
-# A feed up to this many lines is digested as one text, like the file it is.
-DIGEST_LINES = 4096
+# Lines, and then hashes, that one hash of a feed digest covers, and how often this is done.
+DIGEST_LINES, DIGEST_LEVELS = 4096, 3
 
 
 def write_feed(lines: DataFrame, metadata: DataFrame, path: str) -> None:
-    """Replaces the feeds named in `lines` and `metadata`; other feeds stay as they are."""
+    """Replaces the feeds named in `lines` and `metadata`; other feeds stay as they are.
+
+    A feed of `metadata` without lines is replaced by an empty product, which readers skip: a
+    partition without rows would leave its earlier lines on sale.
+    """
     replace = {"partitionOverwriteMode": "dynamic"}
-    ordered = lines.select("feed_id", "first_row", "line_no", "product.*")
-    ordered.sortWithinPartitions("feed_id", "first_row", "line_no").drop("first_row", "line_no").write.mode(
-        "overwrite"
-    ).options(**replace).partitionBy("feed_id").json(f"{path}/products")
+    emptied = metadata.select(F.col("id").alias("feed_id")).join(lines.select("feed_id").distinct(), "feed_id", "left_anti")
+    full = lines.select("feed_id", "first_row", "product.*").unionByName(emptied, allowMissingColumns=True)
+    full.sortWithinPartitions("feed_id", "first_row").drop("first_row").write.mode("overwrite").options(
+        **replace
+    ).partitionBy("feed_id").json(f"{path}/products")
     metadata.withColumn("feed_id", F.col("id")).write.mode("overwrite").options(**replace).partitionBy(
         "feed_id"
     ).json(f"{path}/metadata")
 
 
+def publish(lines: DataFrame, metadata: DataFrame, path: str) -> DataFrame:
+    """Writes the feeds that keep to the schema and returns the violations of the others.
+
+    A feed with any violation, in a line or in its metadata, stays as it was published before.
+    """
+    broken = check_feed(lines).unionByName(check_metadata(metadata))
+    bad = broken.select("feed_id").distinct()
+    write_feed(
+        lines.join(bad, "feed_id", "left_anti"), metadata.join(bad.withColumnRenamed("feed_id", "id"), "id", "left_anti").where("id is not null"), path
+    )
+    return broken
+
+
 def read_feed(spark: SparkSession, path: str, feed_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(product lines, metadata). Blank lines are skipped; one feed reads its partition only."""
-    lines = spark.read.schema(PRODUCT_SCHEMA + ", feed_id string").json(f"{path}/products")
+    lines = spark.read.schema(PRODUCT_SCHEMA + ", feed_id string").json(f"{path}/products").where("id is not null")
     metadata = spark.read.schema("id string, target_country string, updated_at string, feed_id string").json(
         f"{path}/metadata"
     )
@@ -46,19 +65,15 @@ def read_feed(spark: SparkSession, path: str, feed_id: str | None = None) -> tup
 def feed_digest(lines: DataFrame) -> DataFrame:
     """Content digest per feed: 32 hex digits. `lines`: feed_id, ord (distinct), line.
 
-    Up to DIGEST_LINES lines it is the hash of the joined text. A larger feed is
-    hashed block by block and then over its block hashes, so no task sees all of it.
+    Blocks of DIGEST_LINES lines are hashed, then blocks of hashes, DIGEST_LEVELS times for a
+    feed of any size; no task sees all of a feed.
     """
     placed = position_of_distinct(lines, ["feed_id"], "ord", "place")
     level = placed.select("feed_id", (F.col("place") - 1).alias("at"), F.col("line").alias("text"))
-    for depth in range(3):
+    for _ in range(DIGEST_LEVELS):
         entries = F.array_sort(F.collect_list(F.struct("at", "text")))
         joined = F.array_join(F.transform(entries, lambda e: e["text"]), "\n")
         hashed = F.sha2(joined, 256)
-        if depth > 0:
-            # A feed that already came down to one hash keeps it.
-            whole = (F.count(F.lit(1)) == 1) & (F.min("at") == 0)
-            hashed = F.when(whole, F.min("text")).otherwise(hashed)
         level = level.groupBy("feed_id", F.floor(F.col("at") / DIGEST_LINES).cast("bigint").alias("block")).agg(
             hashed.alias("text")
         ).withColumnRenamed("block", "at")
@@ -73,6 +88,4 @@ def append(df: DataFrame, path: str, partition: str | None = None) -> None:
 
 def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Writes one batch of an append-only table so that writing it again changes nothing."""
-    df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id").parquet(path)
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

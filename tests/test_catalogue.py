@@ -101,17 +101,13 @@ def published(spark, n=6):
     return normalize.products(variants), variants
 
 
-def test_feed_lines(spark, monkeypatch):
+def test_feed_lines(spark):
     products, variants = published(spark)
     line = json.loads(feed.project_products(products, variants).select(F.to_json("product")).first()[0])
     assert line["description"] == {"plain": "d\nBrand: B"} and [v["price"]["amount"] for v in line["variants"]] == [n * 10000 for n in range(1, 7)]
     assert line["variants"][0]["availability"] == {"available": False, "status": "out_of_stock"}
     assert "availability" not in line["variants"][1] and line["variants"][2]["availability"]["available"] is True
     assert line["variants"][0]["description"] == {"plain": "Inner material: jute"} and "media" not in line
-    monkeypatch.setattr(feed, "LINE_VARIANTS", 2)
-    lines = feed.project_products(products, variants).collect()
-    assert {r.product.id for r in lines} == {line["id"]} and len(lines) > 1
-    assert sorted(v.id for r in lines for v in r.product.variants) == sorted(v["id"] for v in line["variants"])
 
 
 def test_feed_files_replace_one_feed(spark):
@@ -131,6 +127,12 @@ def test_feed_files_replace_one_feed(spark):
     assert read.where("feed_id = 'feed_m'").first().product.variants[1].availability is None
     count, hits = feed.discover(read, "t2", 1)
     assert count.first()[0] == 2 and hits.count() == 1
+    tables.write_feed(lines.limit(0), metadata, folder)
+    assert [r.feed_id for r in tables.read_feed(spark, folder)[0].collect()] == ["feed_other"]
+    spoiled = lines.withColumn("product", F.col("product").withField("id", F.lit(None).cast("string")))
+    assert tables.publish(spoiled, metadata, folder).count() > 0 and tables.read_feed(spark, folder, "feed_m")[0].count() == 0
+    assert tables.publish(lines, metadata, folder).count() == 0 and tables.read_feed(spark, folder, "feed_m")[0].count() == 1
+    assert tables.publish(lines, metadata.withColumn("target_country", F.lit("in")), folder).first().path == "target_country"
 
 
 def test_catalog(spark):
@@ -141,7 +143,8 @@ def test_catalog(spark):
     assert sorted(r.title for r in merged.collect()) == ["T1", "T2"]
     twice = sold.unionByName(sold.withColumn("title", F.lit("late")).withColumn("ord", F.col("ord").withField("row", F.lit(99))))
     assert {r.title for r in catalog.upsert_catalog(current, twice).collect()} == {"late"}
-    changes = merged.where("title = 'T1'").select("merchant_id", "variant_id", F.lit("unknown").alias("availability"))
+    changes = merged.where("title = 'T1'").select("merchant_id", "variant_id", F.lit("unknown").alias("availability"), F.lit(2).alias("ord"))
+    changes = changes.unionByName(changes.withColumn("availability", F.lit("in_stock")).withColumn("ord", F.lit(1)))
     patched = catalog.patch_catalog(merged, changes, "availability", "2025-01-01 00:00:00").collect()
     assert {r.title: (r.availability, r.updated_at.year) for r in patched} == {"T1": ("unknown", 2025), "T2": ("unknown", 2024)}
 
@@ -154,8 +157,9 @@ def test_digest_levels(spark, monkeypatch):
 
     def fold(texts):
         h = lambda part: hashlib.sha256("\n".join(part).encode()).hexdigest()
-        level = [h(texts[i:i + 3]) for i in range(0, len(texts), 3)]
-        return level[0] if len(level) == 1 else fold(level)
+        for _ in range(3):
+            texts = [h(texts[i:i + 3]) for i in range(0, len(texts), 3)]
+        return texts[0]
 
     assert got == {"big": fold(lines)[:32], "small": fold(lines[:3])[:32]}
 

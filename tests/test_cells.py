@@ -35,7 +35,7 @@ PRICES = [
     ("₹ 57/Pack", 5700, None, "Pack", []),
     ("₹ 100/Kg", 10000, None, "Kg", []),
     ("INR 80 per litre", 8000, None, "litre", []),
-    ("1" * 25, 9223372036854775807, None, None, ["CURRENCY_ASSUMED", "PRICE_OUT_OF_BAND"]),
+    ("1" * 25, None, None, None, ["CURRENCY_ASSUMED", "PRICE_OUT_OF_BAND"]),
 ]
 
 
