@@ -19,7 +19,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 FILTER_BITS = 1 << 23
 
 #: Texts are handled in slices of about this many bytes, so that memory follows the longest text and not the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:

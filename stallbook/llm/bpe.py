@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from stallbook.llm.base import slices
 
-#: Pieces whose tokens a task remembers; beyond it starts anew.
-REMEMBERED = 400_000
+#: Pieces, and pairs of tokens, that a task remembers: so many, and as many older ones.
+REMEMBERED = 150_000
 
 
 class Vocabulary:
@@ -27,33 +27,60 @@ class Vocabulary:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.reach: dict[bytes, int] = {}  # by last three bytes: the longest token that ends so
+        for token in self.ranks:
+            self.reach[token[-3:]] = max(self.reach.get(token[-3:], 0), len(token))
+        self.known_fits: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by its definition: join the neighbours of the lowest rank, leftmost first, until none is left."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], len(self.ranks) + 1), i) for i in range(len(parts) - 1))
-            if rank > len(self.ranks):
+        self._edges: dict[int, tuple[list, list]] = {}
+
+    def merged(self, data: bytes, most: int = 1) -> list[bytes]:
+        """The encoding by its definition: join the neighbours of the lowest rank, leftmost first, until none or `most` are left."""
+        parts, none = [data[i:i + 1] for i in range(len(data))], len(self.ranks) + 1
+        while len(parts) > most:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+            if rank == none:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
     def alone(self, token: int) -> bool:
         """Does the token encode its own bytes?"""
         if token not in self._alone:
-            self._alone[token] = self.merged(self.tokens[token]) == [token]
+            self._alone[token] = self.merged(self.tokens[token]) == [self.tokens[token]]
         return self._alone[token]
 
+    def edges(self, token: int) -> tuple[list, list]:
+        """What stands at the left and at the right edge of a token while it is merged: (bytes, from rank, up to rank)."""
+        if token not in self._edges:
+            sides = []
+            for side in (0, -1):
+                node, until, out = self.tokens[token], len(self.ranks) + 1, []
+                while True:
+                    own = self.ranks[node] if len(node) > 1 else -1
+                    out.append((node, own, until))
+                    if len(node) == 1:
+                        break
+                    node, until = self.merged(node, 2)[side], own
+                sides.append(out)
+            self._edges[token] = sides[0], sides[1]
+        return self._edges[token]
+
     def fits(self, left: int, right: int) -> bool:
-        """Do the two tokens stay as they are side by side? An encoding is valid if all its neighbours fit."""
-        pair = left, right
-        if pair not in self._fits:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            self._fits[pair] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-        return self._fits[pair]
+        """Do the two tokens stay as they are side by side? An encoding is valid if all its neighbours fit.
+
+        They do not if two of their parts that stand side by side at some time would join before either joins its own.
+        """
+        pair = left << 32 | right
+        got = self.known_fits.get(pair)
+        if got is None:
+            if len(self.known_fits) > 2 * REMEMBERED:
+                self.known_fits.clear()
+            get, ours = self.ranks.get, self.edges(right)[0]
+            got = self.known_fits[pair] = not any(
+                since_x < until_y and since_y < until_x and (rank := get(x + y)) is not None and rank < until_x and rank <= until_y
+                for x, since_x, until_x in self.edges(left)[1] for y, since_y, until_y in ours)
+        return got
 
 
 class PrefixTable:
@@ -70,16 +97,28 @@ class PrefixTable:
     def append(self, data: bytes) -> None:
         """Adds bytes; nothing before them is encoded again."""
         self.data += data
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        self._fill(len(self.data))
 
-    def _last(self, end: int) -> int:
+    def _fill(self, to: int) -> None:
         v, data, last = self.vocabulary, self.data, self.last
-        for start in range(max(0, end - v.longest), end):
-            token = v.ranks.get(data[start:end])
-            if token is not None and (v.fits(last[start - 1], token) if start else v.alone(token)):
-                return token
-        raise ValueError(f"no token for byte {data[end - 1]}")
+        rank, reach, fits = v.ranks.get, v.reach.get, v.known_fits.get
+        for end in range(len(last) + 1, to + 1):
+            start = end - (reach(data[end - 3:end], 2) if end > 2 else 2)
+            for start in range(max(start, 0), end):
+                token = rank(data[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    ok = v.alone(token)
+                else:
+                    ok = fits(last[start - 1] << 32 | token)
+                    if ok is None:
+                        ok = v.fits(last[start - 1], token)
+                if ok:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no token for byte {data[end - 1]}")
 
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Puts data in place of data[start:end]; returns how many prefixes were encoded again.
@@ -93,7 +132,7 @@ class PrefixTable:
         self.data += tail
         same = 0
         for k in range(len(tail)):
-            self.last.append(self._last(start + len(data) + k + 1))
+            self._fill(start + len(data) + k + 1)
             same = same + 1 if self.last[-1] == old[k] else 0
             if same >= self.vocabulary.longest:
                 self.last += old[k + 1:]
@@ -114,21 +153,29 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self._known: dict[str, array] = {}
+        self._older: dict[str, array] = {}
 
     def piece(self, piece: str) -> array:
+        """The ids of one match of the pattern; pieces met again stay remembered."""
         got = self._known.get(piece)
         if got is None:
             if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            got = array("i", PrefixTable(self.vocabulary, piece.encode()).tokens())
+                self._known, self._older = {}, self._known
+            got = self._older.get(piece)
+            if got is not None:
+                self._known[piece] = got
+                return got
+            data = piece.encode()
+            whole = self.vocabulary.ranks.get(data)
+            got = array("i", PrefixTable(self.vocabulary, data).tokens() if whole is None else [whole])
             if len(piece) <= 64:
                 self._known[piece] = got
         return got
 
     def encode(self, text: str) -> array:
-        ids, known = array("i"), self._known
+        ids = array("i")
         for piece in self.pattern.findall(text):
-            ids.extend(known.get(piece) or self.piece(piece))
+            ids.extend(self._known.get(piece) or self.piece(piece))
         return ids
 
     def decode(self, ids: array) -> bytes:

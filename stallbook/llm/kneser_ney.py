@@ -21,7 +21,7 @@ FOLDS = 5
 QUANTILE = 0.995
 #: A short document's mean is drawn to that of its language as if it had so many characters more.
 PRIOR_CHARS = 200
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Symbols are 16 bits: unknown ones share the rest of the probability evenly.
 SYMBOLS = 1 << 16
 

@@ -17,7 +17,7 @@ from stallbook.llm.base import slices, utf8
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Bytes of text handled at a time; each takes about 50 bytes of memory.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 @lru_cache(maxsize=1)

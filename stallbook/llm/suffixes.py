@@ -16,7 +16,7 @@ from stallbook.session import written
 WINDOW = 200
 #: Windows are routed by the least hash of the strings of this length inside them.
 GRAM = 32
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bits of the filter of keys that occur at least twice (8 MiB); the same for keys that occur very often.
 KEY_BITS = 1 << 26
 #: A key of more segments is dealt out by single windows instead.
