@@ -56,6 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             to = max(int(np.searchsorted(ends, done + most, "right")), at + 1)
             yield batch.slice(at, to - at)
             at, done = to, int(ends[to - 1])
+    pa.default_memory_pool().release_unused()  # the worker may sit idle next
 
 
 _GAP = np.zeros(256, bool)

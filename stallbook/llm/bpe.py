@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stallbook.llm.base import slices
 
 #: Pieces, and pairs of tokens, that a task remembers: so many, and as many older ones.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 
 
 class Vocabulary:
@@ -74,8 +74,9 @@ class Vocabulary:
         pair = left << 32 | right
         got = self.known_fits.get(pair)
         if got is None:
-            if len(self.known_fits) > 2 * REMEMBERED:
+            if len(self.known_fits) > REMEMBERED:
                 self.known_fits.clear()
+                self._edges.clear()
             get, ours = self.ranks.get, self.edges(right)[0]
             got = self.known_fits[pair] = not any(
                 since_x < until_y and since_y < until_x and (rank := get(x + y)) is not None and rank < until_x and rank <= until_y
