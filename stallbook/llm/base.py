@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,6 +58,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             yield batch.slice(at, to - at)
             at, done = to, int(ends[to - 1])
     pa.default_memory_pool().release_unused()  # the worker may sit idle next
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 _GAP = np.zeros(256, bool)
