@@ -7,6 +7,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,11 +28,12 @@ class Vocabulary:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.reach: dict[bytes, int] = {}  # by last three bytes: the longest token that ends so
-        for token in self.ranks:
-            self.reach[token[-3:]] = max(self.reach.get(token[-3:], 0), len(token))
+        self.endings = ahocorasick.Automaton()  # the tokens that end at each byte, the longest first
+        for token, rank in self.ranks.items():
+            self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.endings.make_automaton()
         self.known_fits: dict[int, bool] = {}
-        self._alone: dict[int, bool] = {}
+        self.known_alone: dict[int, bool] = {}
         self._edges: dict[int, tuple[list, list]] = {}
 
     def merged(self, data: bytes, most: int = 1) -> list[bytes]:
@@ -46,9 +48,9 @@ class Vocabulary:
 
     def alone(self, token: int) -> bool:
         """Does the token encode its own bytes?"""
-        if token not in self._alone:
-            self._alone[token] = self.merged(self.tokens[token]) == [self.tokens[token]]
-        return self._alone[token]
+        if token not in self.known_alone:
+            self.known_alone[token] = self.merged(self.tokens[token]) == [self.tokens[token]]
+        return self.known_alone[token]
 
     def edges(self, token: int) -> tuple[list, list]:
         """What stands at the left and at the right edge of a token while it is merged: (bytes, from rank, up to rank)."""
@@ -101,25 +103,27 @@ class PrefixTable:
         self._fill(len(self.data))
 
     def _fill(self, to: int) -> None:
-        v, data, last = self.vocabulary, self.data, self.last
-        rank, reach, fits = v.ranks.get, v.reach.get, v.known_fits.get
-        for end in range(len(last) + 1, to + 1):
-            start = end - (reach(data[end - 3:end], 2) if end > 2 else 2)
-            for start in range(max(start, 0), end):
-                token = rank(data[start:end])
-                if token is None:
-                    continue
-                if not start:
+        v, last = self.vocabulary, self.last
+        fits, alone, done = v.known_fits.get, v.known_alone.get, len(last)
+        for at, (token, size) in v.endings.iter(self.data.decode("latin-1"), max(done - v.longest, 0), to):
+            if at < done:
+                continue  # a shorter token at a place that is settled
+            if at > done:
+                break
+            if size > at:
+                ok = alone(token)
+                if ok is None:
                     ok = v.alone(token)
-                else:
-                    ok = fits(last[start - 1] << 32 | token)
-                    if ok is None:
-                        ok = v.fits(last[start - 1], token)
-                if ok:
-                    last.append(token)
-                    break
             else:
-                raise ValueError(f"no token for byte {data[end - 1]}")
+                left = last[at - size]
+                ok = fits(left << 32 | token)
+                if ok is None:
+                    ok = v.fits(left, token)
+            if ok:
+                last.append(token)
+                done += 1
+        if done < to:
+            raise ValueError(f"no token for byte {self.data[done]}")
 
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Puts data in place of data[start:end]; returns how many prefixes were encoded again.
