@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from stallbook.llm.base import slices
 
-#: Pieces, and pairs of tokens, that a task remembers: so many, and as many older ones.
-REMEMBERED = 80_000
+#: Pieces that a task remembers: so many, and as many older ones. Also the most pairs of tokens.
+REMEMBERED = 200_000
 
 
 class Vocabulary:
@@ -152,36 +152,34 @@ class PrefixTable:
         return out[::-1]
 
 
-class Encoder:
-    """Texts to ids and back; each match of the pattern is encoded by itself."""
+class Pieces(dict):
+    """Piece -> its ids as 32-bit integers; pieces met again stay remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
-        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self._known: dict[str, array] = {}
-        self._older: dict[str, array] = {}
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.older = vocabulary, {}
 
-    def piece(self, piece: str) -> array:
-        """The ids of one match of the pattern; pieces met again stay remembered."""
-        got = self._known.get(piece)
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(piece)
         if got is None:
-            if len(self._known) >= REMEMBERED:
-                self._known, self._older = {}, self._known
-            got = self._older.get(piece)
-            if got is not None:
-                self._known[piece] = got
-                return got
             data = piece.encode()
             whole = self.vocabulary.ranks.get(data)
-            got = array("i", PrefixTable(self.vocabulary, data).tokens() if whole is None else [whole])
-            if len(piece) <= 64:
-                self._known[piece] = got
+            got = array("i", PrefixTable(self.vocabulary, data).tokens() if whole is None else (whole,)).tobytes()
+        if len(piece) <= 64:
+            self[piece] = got
         return got
 
+
+class Encoder:
+    """Texts to ids and back; each match of the pattern is encoded by itself."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
+        self.vocabulary, self.pattern, self.pieces = vocabulary, regex.compile(pattern), Pieces(vocabulary)
+
     def encode(self, text: str) -> array:
-        ids = array("i")
-        for piece in self.pattern.findall(text):
-            ids.extend(self._known.get(piece) or self.piece(piece))
-        return ids
+        return array("i", b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids: array) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
@@ -190,7 +188,7 @@ class Encoder:
         """The ids of text + more: only the last three pieces of text, which the pattern may cut anew, are encoded again."""
         pieces = self.pattern.findall(text)
         back = "".join(pieces[-3:])
-        again = sum(len(self.piece(p)) for p in pieces[-3:])
+        again = sum(len(self.pieces[p]) for p in pieces[-3:]) // ids.itemsize
         return ids[:len(ids) - again] + self.encode(back + more)
 
 
