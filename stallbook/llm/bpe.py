@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stallbook.llm.base import slices
 
 #: Pieces that a task remembers: so many, and as many older ones. Also the most pairs of tokens.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 class Vocabulary:
