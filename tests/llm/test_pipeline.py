@@ -1,7 +1,9 @@
 """The pipeline stage by stage on the smallest given tables and on awkward rows."""
 
+import random
+
 import corpus_pipeline as pipeline
-from stallbook.llm import kneser_ney, simhash
+from stallbook.llm import jaccard, kneser_ney, simhash
 from stallbook.session import written
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,3 +31,37 @@ def test_awkward_rows(spark, docs):
         assert name == "byte_bpe" or out.columns == docs.columns
     one = [r.doc_id for r in pipeline.near_duplicates(spark, docs, FOLDER).collect()]
     assert one.count(7) == 1 and 1 in one and 2 not in one
+
+
+def grouped(rows, size=5):
+    """Smallest id reachable over pairs with a similarity of 0.8, by comparing all pairs."""
+    cut = lambda w: {tuple(w[i:i + size]) for i in range(max(len(w) - size + 1, min(len(w), 1)))}
+    sets = [cut((t or "").lower().split()) for _, t in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if part[i] != part[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    return {d: min(e for (e, _), q in zip(rows, part) if q == p) for (d, _), p in zip(rows, part)}
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 8, 60, 300]))]
+        for k in range(8):
+            copy = list(base)
+            for _ in range(round(len(base) * k / 120)):
+                copy[rng.randrange(len(copy))] = f"W{rng.randint(0, 400)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(200, ""), (201, None), (202, "a b"), (203, "A  b\n")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = grouped(rows)
+    assert 15 < len(set(expected.values())) < 90
+    for block, sample in ((4096, 16), (2, 1)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        assert {r.doc_id: r.component_id for r in jaccard.near_copies(table).collect()} == expected
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, table, FOLDER).collect()} == set(expected.values())
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(given).collect()} == grouped([(r.doc_id, r.text) for r in given.collect()])
