@@ -21,6 +21,11 @@ FOLDS = 5
 QUANTILE = 0.995
 #: A short document's mean is drawn to that of its language as if it had so many characters more.
 PRIOR_CHARS = 200
+#: The worst windows of a document: runs of so many characters, at this share of all its windows ordered by surprise.
+WINDOW = 6
+WORST = 0.99
+#: Surprise (negative log probability) of a character in steps of 1 / STEPS, in a byte.
+STEPS = 10
 SLICE = 1 << 20
 #: Symbols are 16 bits: unknown ones share the rest of the probability evenly.
 SYMBOLS = 1 << 16
@@ -172,34 +177,56 @@ def row_key(doc_id: str, lang: str, text: str) -> Column:
                               F.coalesce(F.col(text), F.lit("\2"))), 256)
 
 
+def worst_windows(surprise: np.ndarray, before: np.ndarray) -> pa.Array:
+    """Of each text the sum over the window at the share WORST of its windows of WINDOW characters; null without one."""
+    sums = np.concatenate(([0], np.cumsum(surprise, dtype=np.int64)))
+    out = []
+    for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+        own = sums[a + WINDOW:b + 1] - sums[a:max(b + 1 - WINDOW, a)]
+        at = int(np.ceil(WORST * len(own))) - 1
+        out.append(int(np.partition(own, at)[at]) if len(own) else None)
+    return pa.array(out, pa.int64())
+
+
 def sum_log_probabilities(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    """(key, doc_id, lang, n_chars, logp), one row per distinct row of (doc_id, lang, text).
+    """(key, doc_id, lang, n_chars, logp, worst), one row per distinct row of (doc_id, lang, text).
 
-    The scored table is cut into shards of about SHARD_ROWS by hash. Per shard the documents are scanned once, and
-    each sums what it finds there; the sums of a document meet by its key.
+    The scored table is cut into shards of about SHARD_ROWS by hash. Per shard the documents are scanned once; each
+    takes its sum and a byte a character along to the next scan, since a window needs all its characters.
     """
     spark = docs.sparkSession
     n_shards = max(1, -(-scored.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("gram"), F.lit(n_shards))
     scored = written(scored.withColumn("shard", shard).repartition(n_shards, "shard").sortWithinPartitions("shard"), "scored") if n_shards > 1 else scored.withColumn("shard", F.lit(0))
-    passes_over = None
+    rows = docs.select("key", "doc_id", "lang", "text", F.lit(0.0).alias("logp"), F.lit(b"").alias("surprise"))
     for k in range(n_shards):
         table = scored.where(F.col("shard") == k).select("gram", F.col("logp").cast("float").alias("logp")).toArrow()
         shared = spark.sparkContext.broadcast((table["gram"].to_numpy().view(np.uint64), table["logp"].to_numpy()))
 
-        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=k == n_shards - 1) -> Iterator[pa.RecordBatch]:
             lookup = _Lookup(*shared.value)
             for part in slices(batches, most=SLICE):
                 found, before = grams(part.column("text"))
-                total = np.concatenate(([0.0], np.cumsum(lookup.get(found), dtype=np.float64)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("doc_id"), part.column("lang"), pa.array(np.diff(before)), pa.array(total[before[1:]] - total[before[:-1]])],
-                    ["key", "doc_id", "lang", "n_chars", "logp"])
-
-        one = docs.mapInArrow(sums, "key string, doc_id long, lang string, n_chars long, logp double")
-        passes_over = one if passes_over is None else passes_over.union(one)
-    return passes_over.groupBy("key", "doc_id", "lang").agg(
-        F.max("n_chars").alias("n_chars"), (F.sum("logp") / F.count("*") * n_shards).alias("logp"))
+                logp = lookup.get(found)
+                total = np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))
+                own = total[before[1:]] - total[before[:-1]] + part.column("logp").to_numpy(zero_copy_only=False)
+                surprise = np.minimum(np.rint(-STEPS * logp), 255).astype(np.uint8)
+                if not first:
+                    surprise += utf8(part.column("surprise"))[0]  # each n-gram is in one shard
+                ids = [part.column(c) for c in ("key", "doc_id", "lang")]
+                if last:
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(np.diff(before)), pa.array(own), worst_windows(surprise, before)],
+                                                     ["key", "doc_id", "lang", "n_chars", "logp", "worst"])
+                else:
+                    marks = [surprise[a:b].tobytes() for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*ids, part.column("text"), pa.array(own), pa.array(marks, pa.binary())],
+                                                     ["key", "doc_id", "lang", "text", "logp", "surprise"])
+
+        if k < n_shards - 1:
+            rows = written(rows.mapInArrow(sums, "key string, doc_id long, lang string, text string, logp double, surprise binary"), "passed")
+        else:
+            rows = rows.mapInArrow(sums, "key string, doc_id long, lang string, n_chars long, logp double, worst long")
+    return rows.groupBy("key", "doc_id", "lang").agg(*(F.max(c).alias(c) for c in ("n_chars", "logp", "worst")))
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -215,13 +242,24 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(likely, rows.schema).join(ids, "doc_id", "left_semi")
 
 
+def _quantiles(steps: DataFrame, quantile: float, *by: str) -> DataFrame:
+    """(by, step): the least step up to which this share of a group's counts lies."""
+    total = steps.groupBy("group").agg(F.sum("count").alias("all"))
+    below = steps.join(total, "group").withColumn("upto", F.expr("sum(count) over (partition by group order by step)"))
+    return below.where(F.col("upto") >= F.col("all") * quantile).groupBy(*by).agg(F.min("step").alias("step"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """(key, doc_id, lang, n_chars, perplexity, threshold, kept), one row per distinct (doc_id, lang, text).
+    """(key, doc_id, lang, n_chars, perplexity, threshold, drawn_perplexity, window_perplexity, window_threshold, kept).
+
+    One row per distinct (doc_id, lang, text).
 
     Trusted text: documents labelled quality 1 and not toxic. Four folds of five train the model, on all their text;
     the fifth sets, per language, the quantile of perplexity beyond which documents are rejected. A language without
     trusted documents takes the threshold of all languages together; with none at all, everything with text is kept.
     The mean log probability is drawn to that of the language by PRIOR_CHARS, so that a few characters decide nothing.
+    The worst windows of a document (WINDOW, WORST) are held against the same quantile of the fifth fold's worst windows,
+    so that a few bad words do not vanish in the mean of a long text; a text without a window has none to fail.
     All n-grams of all documents are gathered and scored, so what moves through Spark grows with the input.
 
     Null and empty texts have no perplexity and are rejected. A null language is a group of its own. Null ids are
@@ -237,20 +275,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc
     sums = written(sum_log_probabilities(rows.withColumn("key", row_key("doc_id", "lang", "text")), scored), "sums")
 
     held = sums.join(trusted.where("held_out").select("doc_id"), "doc_id").where("n_chars > 0").select(
-        F.explode(F.array(F.struct(F.coalesce("lang", F.lit("\1"))), F.struct(F.lit("\0")))).alias("g"), "n_chars", "logp").select("g.*", "n_chars", "logp").toDF("group", "n_chars", "logp")
+        F.explode(F.array(F.struct(F.coalesce("lang", F.lit("\1"))), F.struct(F.lit("\0")))).alias("g"), "n_chars", "logp", "worst").select("g.*", "n_chars", "logp", "worst").toDF("group", "n_chars", "logp", "worst")
     # Written tables have a known size: what has a row a language is sent to the rows, not dealt with them by language.
     means = written(held.groupBy("group").agg((-F.sum("logp") / F.sum("n_chars")).alias("mean")), "means")
     drawn = (-F.col("logp") + PRIOR_CHARS * F.col("mean")) / (F.col("n_chars") + PRIOR_CHARS)
     # The quantile is read off a histogram in steps of 0.001, which is small and the same in any order of rows.
     steps = held.join(means, "group").groupBy("group", "mean", F.ceil(drawn * 1000).alias("step")).count()
-    total = steps.groupBy("group").agg(F.sum("count").alias("all"))
-    below = steps.join(total, "group").withColumn("upto", F.expr("sum(count) over (partition by group order by step)"))
-    limits = written(below.where(F.col("upto") >= F.col("all") * quantile).groupBy("group", "mean").agg((F.min("step") / 1000).alias("limit")), "limits")
-    every = limits.where("group = '\0'").agg(F.first("mean").alias("mean"), F.first("limit").alias("limit")).first()
-    own = limits.where("group <> '\0'").select(F.col("group"), F.col("mean").alias("own_mean"), F.col("limit").alias("own_limit"))
+    limits = written(_quantiles(steps, quantile, "group", "mean").withColumn("limit", F.col("step") / 1000).drop("step"), "limits")
+    windows = held.where("worst is not null").groupBy("group", F.col("worst").alias("step")).count()
+    limits = written(limits.join(_quantiles(windows, quantile, "group").toDF("group", "window_limit"), "group", "left"), "all-limits")
+    every = limits.where("group = '\0'").agg(F.first("mean").alias("mean"), F.first("limit").alias("limit"), F.first("window_limit").alias("window_limit")).first()
+    own = limits.where("group <> '\0'").select(F.col("group"), F.col("mean").alias("own_mean"), F.col("limit").alias("own_limit"), F.col("window_limit").alias("own_window_limit"))
     number = lambda x: F.lit(x).cast("double")
     judged = sums.withColumn("group", F.coalesce("lang", F.lit("\1"))).join(own, "group", "left").withColumns({
-        "mean": F.coalesce("own_mean", number(every["mean"])), "limit": F.coalesce("own_limit", number(every["limit"]))})
-    kept = (F.col("n_chars") > 0) & F.coalesce(F.ceil(drawn * 1000) / 1000 <= F.col("limit"), F.lit(True))
+        "mean": F.coalesce("own_mean", number(every["mean"])), "limit": F.coalesce("own_limit", number(every["limit"])),
+        "window_limit": F.coalesce("own_window_limit", number(every["window_limit"]))})
+    kept = (F.col("n_chars") > 0) & F.coalesce(F.ceil(drawn * 1000) / 1000 <= F.col("limit"), F.lit(True)) & F.coalesce(F.col("worst") <= F.col("window_limit"), F.lit(True))
     return judged.select("key", "doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("logp") / F.col("n_chars"))).alias("perplexity"),
-                         F.exp("limit").alias("threshold"), F.coalesce(F.exp(drawn), F.lit(None).cast("double")).alias("drawn_perplexity"), kept.alias("kept"))
+                         F.exp("limit").alias("threshold"), F.coalesce(F.exp(drawn), F.lit(None).cast("double")).alias("drawn_perplexity"),
+                         F.exp(F.col("worst") / (STEPS * WINDOW)).alias("window_perplexity"), F.exp(F.col("window_limit") / (STEPS * WINDOW)).alias("window_threshold"), kept.alias("kept"))

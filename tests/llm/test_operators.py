@@ -190,6 +190,28 @@ def test_kneser_ney(spark, docs):
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0 and kneser_ney.classify(docs, labels.limit(0)).where("not kept and n_chars > 0").count() == 0
 
 
+def test_few_bad_words_in_a_long_text(spark, monkeypatch):
+    """Bad words that the mean hides are seen in the worst windows; clean texts stay, however many shards there are."""
+    rng = random.Random(4)
+    spell = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 7)))
+    few, many = [spell("aeinrst") for _ in range(30)], [spell("aeinrstlod") for _ in range(600)]
+    rows = [(i, " ".join(rng.choice(few if i % 2 else many) for _ in range(400)), "en") for i in range(200)]
+    for i in range(200, 220):
+        text = [rng.choice(few) for _ in range(400)]
+        for _ in range(6):
+            text[rng.randrange(400)] = spell("qxzjkvw")
+        rows.append((i, " ".join(text), "en"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    verdicts = kneser_ney.classify(table, labels).collect()
+    assert all(r.drawn_perplexity < r.threshold for r in verdicts if r.doc_id >= 200)
+    assert sum(r.kept for r in verdicts if r.doc_id >= 200) == 0 and sum(not r.kept for r in verdicts if r.doc_id < 200) <= 6
+    monkeypatch.setattr(kneser_ney, "SHARD_ROWS", 500)
+    again = {r.doc_id: r for r in kneser_ney.classify(table, labels).collect()}
+    for r in verdicts:
+        assert (again[r.doc_id].window_perplexity, again[r.doc_id].kept) == (r.window_perplexity, r.kept) and abs(again[r.doc_id].perplexity - r.perplexity) < 1e-9
+
+
 def test_languages(spark, docs, given):
     model = langid.train(given.where(~langid.held_out()))
     truth = {r.doc_id: r.lang for r in given.where(langid.held_out()).collect()}
