@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -39,8 +41,8 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])
 _HINTS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TEXT = "#"
-#: Elements nested deeper are read as part of the one at this depth; their text stays in place.
-DEEPEST = 120
+#: Pages may nest as deep as they like: Python's own calls need no machine stack, only this limit.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 27))
 
 
 @dataclass
@@ -57,11 +59,21 @@ class Node:
     mass: int = 0
 
     def pack(self) -> list:
-        return [self.label, int(self.plus), int(self.optional), self.mass, [c.pack() for c in self.children]]
+        """The nodes in order, each before its children, without nesting."""
+        out, left = [], [self]
+        while left:
+            node = left.pop()
+            out.append([node.label, int(node.plus), int(node.optional), node.mass, len(node.children)])
+            left.extend(reversed(node.children))
+        return out
 
     @staticmethod
-    def unpack(x: list) -> Node:
-        return Node(x[0], [Node.unpack(c) for c in x[4]], bool(x[1]), bool(x[2]), x[3])
+    def unpack(rows: list) -> Node:
+        done: list[Node] = []
+        for label, plus, optional, mass, n in reversed(rows):
+            children = [done.pop() for _ in range(n)]
+            done.append(Node(label, children, bool(plus), bool(optional), mass))
+        return done[0]
 
 
 # ---- token streams ----------------------------------------------------------------------------------------------
@@ -86,6 +98,7 @@ def read_page(html: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
     """The page as a tree, and its blocks of text in order with the labels of the elements around each."""
     root = Node("page")
     stack, names, blocks, text = [root], ["page"], [], []
+    opened = Counter(names)
 
     def flush() -> None:
         block = " ".join(unescape("".join(text)).split())
@@ -96,8 +109,15 @@ def read_page(html: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
 
     def close(to: int) -> None:
         flush()
+        opened.subtract(names[to:])
         del stack[to:], names[to:]
 
+    def last(name: str) -> int:
+        at = len(names) - 1
+        while names[at] != name:
+            at -= 1
+        return at
+
     at, n = 0, len(html)
     while at < n:
         found = _TAG.search(html, at)
@@ -118,23 +138,24 @@ def read_page(html: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
         elif name in INLINE:
             continue
         elif closing:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if opened[name] > 0:
+                close(last(name))
             else:
                 flush()
         else:
-            if name in ENDS_PARAGRAPH and "p" in names:
-                close(len(names) - 1 - names[::-1].index("p"))
-            if name in ENDS_OWN and name in names:
-                last = len(names) - 1 - names[::-1].index(name)
-                if not set(names[last:]) & set(ENDS_OWN[name].split()):
-                    close(last)
+            if name in ENDS_PARAGRAPH and opened["p"] > 0:
+                close(last("p"))
+            if name in ENDS_OWN and opened[name] > 0:
+                own = last(name)
+                if not set(names[own:]) & set(ENDS_OWN[name].split()):
+                    close(own)
             flush()
-            if name not in VOID and len(stack) < DEEPEST:
+            if name not in VOID:
                 node = Node(_label(name, attributes))
                 stack[-1].children.append(node)
                 stack.append(node)
                 names.append(name)
+                opened[name] += 1
     close(1)
     return root, blocks
 
@@ -219,7 +240,7 @@ def wrapper_of(page: Node) -> Node:
 
 def expression(wrapper: Node) -> str:
     """The wrapper as a regular expression over tags and text slots."""
-    inner = " ".join(map(expression, wrapper.children))
+    inner = " ".join([expression(c) for c in wrapper.children])
     own = wrapper.label if wrapper.label == TEXT else f"({inner})" if wrapper.label[0] == "(" else f"<{wrapper.label}> {inner} </{wrapper.label.split('.')[0]}>"
     return f"({own})+" * wrapper.plus + own * (not wrapper.plus) + "?" * wrapper.optional
 
@@ -234,36 +255,52 @@ def is_around(label: str) -> bool:
 def article_paths(wrapper: Node) -> list[list[str]]:
     """Paths of the elements that hold the article.
 
-    The outermost article elements; without one main elements or such as are named like it; else the element with
-    most text directly in its blocks. Nothing inside or named like a menu, header, footer and so on counts.
+    The outermost article elements; without one main elements or such as are named like it; else the innermost element
+    around all text. Nothing inside or named like a menu, header, footer and so on counts.
     """
-    found: dict[str, list[tuple[int, list[str]]]] = {"article": [], "main": [], "named": [], "most": []}
+    found: dict[str, list[tuple]] = {"article": [], "main": [], "named": []}
+    around: list[tuple] = []
 
-    def visit(node: Node, path: list[str], inside: frozenset[str]) -> int:
+    def visit(node: Node, path: tuple | None, inside: frozenset[str]) -> int:
+        """Characters of text in it; a path is (label, path of the parent, depth)."""
         if node.label == TEXT:
+            around[:] = [_shared(around[0], path) if around else path]
             return node.mass
         group = node.label[0] == "("
         if not group and is_around(node.label):
             return 0
-        here = path if group else [*path, node.label]
+        here = path if group else (node.label, path, path[2] + 1 if path else 1)
         name, *words = node.label.split(".")
         kind = None if group else "article" if name == "article" else "main" if name == "main" or "main" in words else "named" if not MAIN_WORDS.isdisjoint(words) else None
-        total, direct = 0, 0
+        total = 0
         for child in node.children:
-            mass = visit(child, here, inside | {kind} if kind else inside)
-            total += mass
-            direct += mass if child.label == TEXT or child.label[0] == "(" or all(c.label == TEXT for c in child.children) else 0
+            total += visit(child, here, inside | {kind} if kind else inside)
         if kind and kind not in inside and total:
-            found[kind].append((total, here))
-        if not group:
-            found["most"].append((direct, here))
+            found[kind].append(here)
         return total
 
-    visit(wrapper, [], frozenset())
+    visit(wrapper, None, frozenset())
     for kind in ("article", "main", "named"):
         if found[kind]:
-            return [path for _, path in sorted(found[kind], key=lambda x: x[1])]
-    return [max(found["most"], key=lambda x: (x[0], -len(x[1])))[1]] if found["most"] else []
+            return sorted(map(_spelled, found[kind]))
+    return [_spelled(x) for x in around]
+
+
+def _shared(a: tuple, b: tuple) -> tuple:
+    """The path of the innermost element around both."""
+    while a is not b:
+        if a[2] >= b[2]:
+            a, b = b, a
+        b = b[1]
+    return a
+
+
+def _spelled(path: tuple | None) -> list[str]:
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return out[::-1]
 
 
 def article_text(blocks: list[tuple[tuple[str, ...], str]], paths: list[list[str]]) -> str:

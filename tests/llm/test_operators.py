@@ -69,6 +69,17 @@ def test_wrappers(spark):
     assert wrappers.expression(wrappers._merged(one, two)) == "<page> <div> <h2> # </h2>? (<p> # </p>)+ </div> <table>  </table>? </page>"
 
 
+def test_deep_pages_and_pages_without_article(spark):
+    nest = lambda n, x: "<div>" * n + x + "</div>" * n
+    deep = f"<body><div><article><p>one</p>{nest(200, 'two<nav>menu</nav>')}<p>three</p></article></div><p>other</p></body>"
+    rows = [(1, "http://a.b/1", deep), (2, "http://c.d/1", nest(5000, f"<p>x</p><article>in{nest(3000, 'side')}</article>") + "<p>y</p>"),
+            (3, "http://e.f/1", "<body><div><nav>menu</nav><div><p>first</p></div><div><p>second, a longer one</p></div></div><footer>f</footer></body>")]
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one\ntwo\nthree", 2: "in\nside", 3: "first\nsecond, a longer one"}
+    tree = wrappers.read_page(deep)[0]
+    assert wrappers.Node.unpack(tree.pack()).pack() == tree.pack()
+
+
 def test_pages_against_their_markup(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
     for r in queries.op2_html_extraction(spark, FOLDER).collect():
