@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .ranking import position_of_distinct
+from .ranking import positions
 
 ROW = ["file", "sheet", "source_row"]
 _STRINGS = "array<string>"
@@ -177,7 +177,7 @@ def run_history(runs: DataFrame) -> DataFrame:
     `runs`: suite, run_no (distinct in a suite), run_date, model_served,
     prompt_sha256, ok, total, note. A run meets its predecessor by position.
     """
-    placed = position_of_distinct(runs, ["suite"], "run_no", "place")
+    placed = positions(runs, ["suite"], ["run_no"], "place")
     before = placed.select(
         "suite", (F.col("place") + 1).alias("place"),
         F.col("ok").alias("ok_before"), F.col("total").alias("total_before"),

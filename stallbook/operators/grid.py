@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import KNOWN_HEADERS, ROLE_SYNONYMS
 from ..functions.text import WORD_END, WORD_START, WS, as_text, dedupe_key
 from ..session import written
-from .ranking import position_of_distinct
+from .ranking import positions
 
 SHEET = ["file", "sheet"]
 HEADER_SEARCH_ROWS = 15
@@ -264,7 +264,7 @@ def chunk(rows: DataFrame, group: list[str], order: str, size: int) -> DataFrame
     """Adds batch_index: fixed-size batches of a group's rows in order."""
     if size < 1:
         raise ValueError(f"batch size must be at least 1, got {size}")
-    placed = position_of_distinct(rows, group, order, "__position")
+    placed = positions(rows, group, [order], "__position")
     return placed.withColumn(
         "batch_index", F.floor((F.col("__position") - 1) / size).cast("int")
     ).drop("__position")

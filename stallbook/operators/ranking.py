@@ -2,7 +2,7 @@
 
 A window over a whole group puts the group into one task, which fails when one
 group holds a large share of the rows. Positions are counted in two levels
-instead: inside slices of the order key, and over the (few) slices of a group.
+instead: inside range partitions of the order, and over the partitions of a group.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def _before(partition: list[str], *order: Column | str):
     return (
@@ -19,26 +21,32 @@ def _before(partition: list[str], *order: Column | str):
     )
 
 
-def position_of_distinct(
-    df: DataFrame, group: list[str], order: str, target: str, width: int = 65_536
-) -> DataFrame:
-    """1-based position of each row by `order`, an integer distinct within `group`.
+def positions(df: DataFrame, group: list[str], order: list[Column | str], target: str) -> DataFrame:
+    """1-based position of each row by `order` within its group, as a distributed prefix sum.
 
-    A slice holds at most `width` rows, since order values do not repeat.
+    Rows are dealt by range of (group, order) and sorted, so a partition holds consecutive rows whatever the order
+    values are and however many rows a group has. What precedes a row in its group is what precedes it in its
+    partition, plus the group's rows in earlier partitions: counts per (partition, group) and a running sum over the
+    partitions that a group spans. The dealt rows are written once, since partition numbers must not change between
+    the two reads; a lost executor costs a read. Rows that tie on `order` get distinct positions, one after the
+    other; rows that must be told apart need another order column. Nulls in `group` are a group, nulls in `order`
+    come first. An empty table gives no rows.
     """
-    sliced = df.withColumn("__slice", F.floor(F.col(order) / F.lit(width)))
-    counts = sliced.groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn(
-        "__offset",
-        F.coalesce(F.sum("__n").over(_before(group, "__slice")), F.lit(0)),
-    ).drop("__n")
-    inside = Window.partitionBy(*group, "__slice").orderBy(order)
-    return (
-        sliced.withColumn("__inside", F.row_number().over(inside))
-        .join(offsets, [*group, "__slice"])
-        .withColumn(target, (F.col("__offset") + F.col("__inside")).cast("bigint"))
-        .drop("__slice", "__offset", "__inside")
+    keys = [*group, *order]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "positions").withColumns(
+        {"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND((1 << 33) - 1)}
+    )
+    starts = dealt.groupBy("__part", *group).agg(F.min("__row").alias("__start"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(_before(group, "__part")), F.lit(0)) - F.col("__start")
+    offsets = starts.select(
+        F.col("__part").alias("__in_part"), *(F.col(g).alias(f"__of_{k}") for k, g in enumerate(group)), before.alias("__offset")
     )
+    same = F.col("__part") == F.col("__in_part")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__of_{k}"))
+    placed = dealt.join(offsets, same).withColumn(target, (F.col("__row") + F.col("__offset") + 1).cast("bigint"))
+    return placed.select(*df.columns, target)
 
 
 def tie_digest(c: Column | str) -> Column:

@@ -67,10 +67,10 @@ SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS p
     ("audit",),
 )
 def audit_timeline(spark, sf):
-    from ..operators.ranking import position_of_distinct
+    from ..operators.ranking import positions
 
     events = table(spark, sf, "audit").where("session_id IS NOT NULL")
-    placed = position_of_distinct(events, ["session_id"], "seq", "place")
+    placed = positions(events, ["session_id"], ["seq"], "place")
     return audit.timeline(placed).select("session_id", "place", "event_id", "action", "outcome")
 
 

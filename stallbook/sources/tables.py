@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.feed import check_feed, check_metadata
-from ..operators.ranking import position_of_distinct
+from ..operators.ranking import positions
 
 PRICE = "struct<amount:bigint,currency:string>"
 MEDIA = "array<struct<type:string,url:string,alt_text:string>>"
@@ -68,7 +68,7 @@ def feed_digest(lines: DataFrame) -> DataFrame:
     Blocks of DIGEST_LINES lines are hashed, then blocks of hashes, DIGEST_LEVELS times for a
     feed of any size; no task sees all of a feed.
     """
-    placed = position_of_distinct(lines, ["feed_id"], "ord", "place")
+    placed = positions(lines, ["feed_id"], ["ord"], "place")
     level = placed.select("feed_id", (F.col("place") - 1).alias("at"), F.col("line").alias("text"))
     for _ in range(DIGEST_LEVELS):
         entries = F.array_sort(F.collect_list(F.struct("at", "text")))

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from stallbook.operators import grid
-from stallbook.operators.ranking import position_of_distinct
+from stallbook.operators.ranking import positions
 
 CELLS = "file string, sheet string, row int, col int, text string, master_row int"
 
@@ -94,14 +94,31 @@ def test_duplicates(spark):
     assert sorted(m.row for m in members.collect()) == [1, 2, 3, 4]
 
 
-def test_positions_across_slices(spark):
+def test_positions_are_a_prefix_sum_over_partitions(spark):
     random.seed(3)
-    orders = random.sample(range(-500, 5000), 400)
-    df = spark.createDataFrame([(n % 3, n) for n in orders], "g int, o bigint")
-    got = {(r.g, r.o): r.p for r in position_of_distinct(df, ["g"], "o", "p", width=50).collect()}
-    for g in range(3):
-        expected = sorted(n for n in orders if n % 3 == g)
+    orders = random.sample(range(-500, 10**15), 4000)  # sparse: no two values lie near each other
+    rows = [(None if n % 7 == 3 else 0 if n % 7 else n % 3, n) for n in orders]
+    df = spark.createDataFrame(rows, "g int, o bigint").repartition(7)
+    got = {(r.g, r.o): r.p for r in positions(df, ["g"], ["o"], "p").collect()}
+    for g in {g for g, _ in rows}:
+        expected = sorted(n for own, n in rows if own == g)
         assert [got[(g, n)] for n in expected] == list(range(1, len(expected) + 1))
+    assert positions(df.where("false"), ["g"], ["o"], "p").collect() == []
+
+
+def test_positions_of_ties_nulls_and_one_group_of_all_rows(spark):
+    df = spark.createDataFrame([(1, None), (1, 5), (1, 5), (1, 4)], "g int, o int")
+    got = sorted((r.p, r.o) for r in positions(df, ["g"], ["o"], "p").collect())
+    assert got == [(1, None), (2, 4), (3, 5), (4, 5)]
+    many = spark.range(20_000).select(F.lit("one").alias("g"), (F.col("id") * 10**9).alias("o")).repartition(5)
+    placed = positions(many, ["g"], [F.desc("o")], "p")
+    assert placed.where("o <> (20000 - p) * 1000000000").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 20_000  # no task numbers the whole group
 
 
 def test_chunk_sizes(spark):
