@@ -73,3 +73,68 @@ rules(verdict, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block',
 f AS (SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
   FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1, 2)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (host, path)"""
+
+_BLANK = r"[\x20\x09-\x0D]"
+EXACT_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '{_BLANK}', '', 'g') AS plain FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size, row_number() OVER best = 1 AS kept, sha256(plain) AS text_sha256
+FROM d WINDOW best AS (PARTITION BY plain ORDER BY size DESC, doc_id NULLS LAST, row)"""
+
+
+def _hash_tree(name: str, leaves: str, levels: int) -> list[str]:
+    """CTEs of trees over leaves (tree, i, h): nodes and runs of eight, level by level; finished trees are carried on."""
+    parts = [f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY tree) AS w FROM ({leaves}))"]
+    for k in range(levels):
+        parts.append(f"{name}r{k} AS (SELECT tree, i // 8 AS b, list(h ORDER BY i) AS hs FROM {name}{k} WHERE w > 1 GROUP BY ALL)")
+        parts.append(f"""{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS w FROM (
+  SELECT tree, b AS i, sha256(array_to_string(hs, '')) AS h FROM {name}r{k} UNION ALL SELECT tree, i, h FROM {name}{k} WHERE w = 1))""")
+    return parts
+
+
+def _climb(name: str, start: str, tree: str, levels: int) -> list[str]:
+    """CTEs that take rows (i, x, p, ...) up through the tree `tree`: x is folded with the siblings, which are added to p."""
+    parts = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        left, right = "array_to_string(hs[1:i % 8], '')", "array_to_string(hs[i % 8 + 2:], '')"
+        parts.append(f"""{name}{k + 1} AS (SELECT f.* EXCLUDE (i, x, p), i // 8 AS i, CASE WHEN hs IS NULL THEN x ELSE sha256({left} || x || {right}) END AS x,
+  CASE WHEN hs IS NULL THEN p ELSE p || {left} || {right} END AS p FROM {name}{k} f LEFT JOIN {tree}r{k} r ON r.tree = f.tree AND r.b = f.i // 8)""")
+    return parts
+
+
+def _leaf(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}::VARCHAR) || ':' || {f}::VARCHAR END" for f in fields) + ")"
+
+
+_LEVELS, _OVER = 9, 3
+MERKLE_MANIFEST = "WITH " + ",\n".join([
+    """crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS v FROM range(256) x(n)))""",
+    """digits AS (SELECT *, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT) AS ds FROM documents)""",
+    """marked AS (SELECT *, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, ds), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::BIGINT) END AS crc FROM digits, crc)""",
+    f"""leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf,
+  CASE WHEN crc % 3 = 0 THEN {_leaf('doc_id', 'source', 'lang', 'n_chars', f"translate(text, {_LETTERS})")} END AS changed FROM marked)""",
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves)",
+    *_hash_tree("n", "SELECT tree, i, leaf AS h FROM placed", _LEVELS),
+    f"subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM n{_LEVELS})",
+    *_hash_tree("m", "SELECT 'all' AS tree, place AS i, subroot AS h FROM subroots", _OVER),
+    *_climb("f", "SELECT doc_id, tree, leaf, i, coalesce(changed, leaf) AS x, '' AS p FROM placed", "n", _LEVELS),
+    *_climb("g", f"SELECT doc_id, 'all' AS tree, leaf, subroot, place AS i, x, p FROM f{_LEVELS} JOIN subroots USING (tree)", "m", _OVER),
+]) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, x AS folded_root, x = h AS verified FROM g{_OVER}, (SELECT h FROM m{_OVER})"""
+
+_PIECE, _TOKEN = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
+PHRASES = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_LETTERS}), '{_PIECE}')) AS p FROM documents),
+ws AS (SELECT lang, regexp_extract_all(p, '{_TOKEN}') AS w FROM pieces),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM ws), (VALUES (1), (2), (3), (4)) t(k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+found AS (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 30),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS j FROM found)),
+scored AS (SELECT c.lang, c.phrase, a, fx.n AS l, fy.n AS r, CAST(2000000::HUGEINT * a // (fx.n + fy.n) AS BIGINT) AS score
+  FROM cuts c JOIN f fx ON fx.lang = c.lang AND fx.phrase = x JOIN f fy ON fy.lang = c.lang AND fy.phrase = y
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 2000000::HUGEINT * a // (fx.n + fy.n), j) = 1),
+around AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM found), (VALUES (2), (3)) t(m)
+  WHERE m < len(w) AND i + m - 1 <= len(w) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored LEFT JOIN around USING (lang, phrase) JOIN totals USING (lang) WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a QUALIFY rank <= 2000"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallbook.llm import bpe, checks, decontaminate, kneser_ney, langid, ledger, pii, simhash, suffixes, urls, wrappers
+from stallbook.llm import blocknames, bpe, checks, collocations, decontaminate, kneser_ney, langid, ledger, merkle, pii, simhash, suffixes, urls, wrappers
 from stallbook.llm.base import given
 
 
@@ -92,6 +92,24 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proof of every document in the manifest, and whether its text, lower-cased in a third of them, still proves."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.when(third, F.translate("text", letters, letters.lower())).otherwise(F.col("text"))
+    return merkle.manifest(given(spark, folder, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": lowered})
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact duplicates among all documents, blanks aside."""
+    return blocknames.exact_duplicates(given(spark, folder, "documents"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The most tightly bound phrases of each language."""
+    return collocations.collocations(given(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
@@ -103,6 +121,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_collocations": op13_collocations,
 }
 #: What SQL cannot express (2, 3, 6, 7, 8, 10) is held against plain versions in tests/llm.
 CHECKS = {
@@ -110,4 +131,7 @@ CHECKS = {
     "op4_quality_rules": checks.QUALITY_RULES,
     "op5_pii": checks.PII,
     "op9_url_filter": checks.URL_FILTER,
+    "op11_merkle_manifest": checks.MERKLE_MANIFEST,
+    "op12_exact_dedup": checks.EXACT_DEDUP,
+    "op13_collocations": checks.PHRASES,
 }
