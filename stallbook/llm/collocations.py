@@ -24,8 +24,8 @@ PERCENT = 80
 SHARE = 4096
 #: Bytes of text looked at together; longer texts are cut between pieces.
 SLICE = 1 << 20
-#: Suffix pointers sorted together.
-CHUNK = 400_000
+#: Suffix pointers sorted together; each takes about a kilobyte of memory meanwhile.
+CHUNK = 100_000
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
@@ -145,19 +145,34 @@ def word_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterato
                 yield Words(data[a:b], own, langs), names
 
 
-def route_hashes(words: Words, names: list[str], at: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of the language and the first n words of the phrases that start at these words."""
-    langs = np.array([int.from_bytes(x.encode()[:8].ljust(8, b"\0"), "little") ^ (len(x.encode()) << 56) for x in names], np.uint64)
-    value = mix(langs)[words.lang[at]]
+def _lang_hashes(names: list[str]) -> np.ndarray:
+    return mix(np.array([int.from_bytes(x.encode()[:8].ljust(8, b"\0"), "little") ^ (len(x.encode()) << 56) for x in names], np.uint64))
+
+
+def route_hashes(langs: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of a language and the n words from each of these places on, from the hashes of both."""
+    value = langs
     for k in range(n):
-        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + words.hashes[at + k])
+        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k])
     return value
 
 
+def split_phrases(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some phrases, where their words start and end, and the first word and the number of words of each."""
+    data, borders = utf8(column)
+    lead = np.concatenate((np.ones(min(len(data), 1), bool), data[:-1] == 32))  # words are joined by single spaces
+    lead[borders[:-1][borders[:-1] < len(data)]] = True
+    starts = np.flatnonzero(lead)
+    ends = np.append(starts[1:], len(data)) - 1
+    ends[np.searchsorted(starts, borders[1:], "left") - 1] = borders[1:]
+    first = np.searchsorted(starts, borders[:-1], "left")
+    return data, starts, ends, first, np.diff(np.append(first, len(starts)))
+
+
 # ---- leading words ----------------------------------------------------------------------------------------------
 
 def _counted(words: Words, names: list[str], at: np.ndarray, codes: list[np.ndarray], n: int) -> pa.RecordBatch:
-    """(lang, words, phrase, hash, n) of the distinct phrases of n words that start at these words."""
+    """(lang, phrase, n) of the distinct phrases of n words that start at these words."""
     order = np.lexsort([words.lang[at], *codes])
     at = at[order]
     fresh = np.concatenate(([True], np.diff(words.lang[at]) != 0))
@@ -167,15 +182,13 @@ def _counted(words: Words, names: list[str], at: np.ndarray, codes: list[np.ndar
     counts = np.diff(np.append(heads, len(at)))
     at = at[heads]
     lang = pa.array(names, pa.string()).take(pa.array(words.lang[at]))
-    return pa.RecordBatch.from_arrays(
-        [lang, pa.array(np.full(len(at), n, np.int32)), words.spelled(at, n), pa.array(route_hashes(words, names, at, n).view(np.int64)), pa.array(counts)],
-        ["lang", "words", "phrase", "hash", "n"])
+    return pa.RecordBatch.from_arrays([lang, words.spelled(at, n), pa.array(counts)], ["lang", "phrase", "n"])
 
 
 def leading_words(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, words, phrase, hash, n) of words and pairs of words that occur `least` times or more, written.
+    """(lang, words, phrase, n) of words and pairs of words that occur `least` times or more, written.
 
-    With words = 0: all word occurrences of the language. Counted in slices, in tasks, then over all.
+    With words = 0 and an empty phrase: all word occurrences of the language. Counted in slices, in tasks, then over all.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, names in word_slices(batches):
@@ -184,17 +197,15 @@ def leading_words(rows: DataFrame, least: int) -> DataFrame:
                 continue
             langs = np.bincount(words.lang, minlength=len(names))
             seen = np.flatnonzero(langs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[k] for k in seen], pa.string()), pa.array(np.zeros(len(seen), np.int32)), pa.array([""] * len(seen), pa.string()),
-                 pa.array(np.zeros(len(seen), np.int64)), pa.array(langs[seen])], ["lang", "words", "phrase", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in seen], pa.string()), pa.array([""] * len(seen), pa.string()), pa.array(langs[seen])], ["lang", "phrase", "n"])
             yield _counted(words, names, at, [words.code], 1)
             pairs = at[words.room > 1]
             if len(pairs):
                 yield _counted(words, names, pairs, [words.code[pairs], words.code[pairs + 1]], 2)
 
-    counts = rows.mapInArrow(count, "lang string, words int, phrase string, hash long, n long")
-    summed = counts.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n"))
-    return written(summed.where((F.col("n") >= least) | (F.col("words") == 0)), "leading-words")
+    summed = rows.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    number = F.when(F.col("phrase") == "", 0).when(F.contains("phrase", F.lit(" ")), 2).otherwise(1)
+    return written(summed.where((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", number.alias("words"), "phrase", "n"), "leading-words")
 
 
 # ---- suffix pointers --------------------------------------------------------------------------------------------
@@ -244,15 +255,8 @@ def multikey_quicksort(symbols: np.ndarray, weights: np.ndarray, least: int) ->
 
 def _phrases(langs: pa.Array, windows: pa.Array, weights: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     """(lang, words, phrase, n) of the phrases of three words and more that lead the windows."""
-    data, borders = utf8(windows)
-    lead = np.concatenate(([True], data[:-1] == 32))  # words are joined by single spaces
-    lead[borders[:-1]] = True
-    starts = np.flatnonzero(lead)
-    ends = np.append(starts[1:], len(data)) - 1
-    ends[np.searchsorted(starts, borders[1:], "left") - 1] = borders[1:]
+    data, starts, ends, first, length = split_phrases(windows)
     code, _ = same_words(data, starts, ends, word_hashes(data, starts, ends))
-    first = np.searchsorted(starts, borders[:-1], "left")
-    length = np.diff(np.append(first, len(starts)))
     lang = langs.dictionary_encode()
     symbols = np.zeros((len(windows), DEPTH + 1), np.int64)
     symbols[:, 0] = lang.indices.to_numpy() + 1
@@ -322,7 +326,15 @@ def longer_phrases(rows: DataFrame, leading: DataFrame, least: int, chunk: int =
     quicksort finds the partitions of equal phrases, whose sizes are their counts.
     """
     spark = rows.sparkSession
-    pairs = leading.where("words = 2")
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts, ends, first, _ = split_phrases(batch.column("phrase"))
+            lang = batch.column("lang").dictionary_encode()
+            langs = _lang_hashes(lang.dictionary.to_pylist())[lang.indices.to_numpy()]
+            found = route_hashes(langs, word_hashes(data, starts, ends), first, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column("n")], ["hash", "n"])
+
+    pairs = written(leading.where("words = 2").select("lang", "phrase", "n").mapInArrow(hashes, "hash long, n long"), "leading-pairs")
     row = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("all")).first()
     bits = 1 << min(max(row["n"] * 16, 1 << 16).bit_length(), 26)
     often = spark.sparkContext.broadcast(hash_filter(pairs.select("hash"), bits))
@@ -333,7 +345,7 @@ def longer_phrases(rows: DataFrame, leading: DataFrame, least: int, chunk: int =
         for words, names in word_slices(batches):
             at = np.flatnonzero(words.room > 1)
             pair = np.zeros(len(words.starts) + DEPTH, bool)
-            hashes = route_hashes(words, names, at, 2)
+            hashes = route_hashes(_lang_hashes(names)[words.lang[at]], words.hashes, at, 2)
             pair[at[passes(often.value, hashes)]] = True
             length = np.ones(len(words.starts), np.int64)
             for k in range(1, DEPTH):
