@@ -116,6 +116,15 @@ ALTERNATIVES_WINDOW = 12
 ACTORS = ["agent", "system", "merchant", "psp"]
 OUTCOMES = ["allowed", "refused", "error", "observed"]
 
+# --- fixed values: what the error text of a failed batch says about its reason; the first match counts ---
+FAILURE_PATTERNS = [
+    (r"(?i)429|quota|rate limit", "PROVIDER_RATE_LIMITED"),
+    (r"(?i)schema validation|not valid JSON", "EXTRACTION_MALFORMED"),
+    (r"(?i)truncated|MAX_TOKENS|finish_reason=length", "EXTRACTION_TRUNCATED"),
+    (r"(?i)blocked|refus", "PROVIDER_REFUSED"),
+]
+OTHER_FAILURE = "PROVIDER_ERROR"
+
 # Published names of the category systems. The first is ours.
 TAXONOMY_NAME = "stallbook"
 MERCHANT_TAXONOMY_NAME = "merchant"

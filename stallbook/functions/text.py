@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import FAILURE_PATTERNS, OTHER_FAILURE
+
 # Whitespace as spreadsheets contain it: ASCII, no-break, full-width and BOM.
 # Java's own \s covers ASCII only. For use inside a character class.
 WS = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -72,20 +74,12 @@ def is_absolute_url(c: ColumnOrName) -> Column:
     return F.coalesce(protocol.isin("http", "https") & host.isNotNull(), F.lit(False))
 
 
-def first_characters(c: ColumnOrName, n: int) -> Column:
-    return F.left(col(c), F.lit(n))
-
-
 def classify_failure(c: ColumnOrName) -> Column:
     """Coarse reason code for the error text of a failed batch; first match wins."""
-    text = col(c)
-    return (
-        F.when(text.rlike(r"(?i)429|quota|rate limit"), "PROVIDER_RATE_LIMITED")
-        .when(text.rlike(r"(?i)schema validation|not valid JSON"), "EXTRACTION_MALFORMED")
-        .when(text.rlike(r"(?i)truncated|MAX_TOKENS|finish_reason=length"), "EXTRACTION_TRUNCATED")
-        .when(text.rlike(r"(?i)blocked|refus"), "PROVIDER_REFUSED")
-        .otherwise("PROVIDER_ERROR")
-    )
+    code = F.lit(OTHER_FAILURE)
+    for pattern, name in reversed(FAILURE_PATTERNS):
+        code = F.when(col(c).rlike(pattern), name).otherwise(code)
+    return code
 
 
 def canonical_id(c: ColumnOrName) -> Column:
@@ -109,6 +103,10 @@ def valid_job_id(c: ColumnOrName) -> Column:
     return _shaped(c, r"^job_[0-9a-f]{16}\z")
 
 
+def valid_session_id(c: ColumnOrName) -> Column:
+    return _shaped(c, r"^cs_[0-9a-f]{24}\z")
+
+
 def bearer(c: ColumnOrName) -> Column:
     """Token of an authorization header, whatever the case of the scheme."""
     token = F.regexp_extract(as_text(c), rf"(?i)^bearer[{WS}]+([^{WS}]+)\z", 1)

@@ -4,7 +4,9 @@ Comparing every refusal with every item of its merchant would square the largest
 merchant. Items are ranked once per shelf instead, a shelf being a merchant's
 whole stock or one category of it; a refusal then asks for the few ranks below
 its price bound. The rows it reads grow with its cart and the window, not with
-the shelf, and nothing affordable is missed.
+the shelf, and nothing affordable is missed. Ranks are prefix sums over range
+partitions of (price, tie), in which the bounds asked for stand as rows that count
+nothing: items of one price are spread like any others.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from ..functions.fixed import (
     ALTERNATIVES_OFFERED, ALTERNATIVES_WINDOW, DELIVERY_FLAT_MINOR, FREE_DELIVERY_FROM_MINOR,
     TAX_BASIS_POINTS,
 )
+from ..session import written
 from .cart import total_for
-from .ranking import levels_with_probes, tie_digest, with_position
+from .ranking import prefix_sums, tie_digest
 
 SHELF = ["merchant_id", "shelf"]
 ALL_SHELVES = "*"
-PRICE_SLICE = 1024
 RANK_BLOCK = 16
 
 
@@ -96,7 +98,6 @@ def alternatives(
     """
     window = max(limit * 4, ALTERNATIVES_WINDOW)
     in_cart = lines.where("error IS NULL").select("session_id", F.col("item_id").alias("variant_id"), "category")
-    stocked = shelves(catalog)
 
     bounds = price_bounds(
         refusals.where("max_value > 0").select("session_id", "merchant_id", "max_value", "categories")
@@ -108,8 +109,17 @@ def alternatives(
         "session_id", *SHELF, "price_from", F.col("price_to").alias("price_minor")
     )
 
-    fine, starts = levels_with_probes(stocked, asked, SHELF, "price_minor", PRICE_SLICE)
-    ladder = with_position(stocked, fine, SHELF, "price_minor", "position").select(
+    asked = written(asked, "asked")
+    # Shelves that no refusal asks for are not ranked.
+    stocked = shelves(catalog).join(asked.select(*SHELF).distinct(), SHELF, "left_semi").withColumn("counts", F.lit(1))
+    # A bound stands before the items of its price: '' sorts before any digest.
+    marks = asked.select(*SHELF, "price_minor").distinct().withColumns({"__tie": F.lit(""), "counts": F.lit(0)})
+    ranked = prefix_sums(
+        stocked.unionByName(marks, allowMissingColumns=True), SHELF, [F.desc("price_minor"), "__tie", "variant_id"], "counts", "position"
+    )
+    ranked = written(ranked, "ranked")
+    starts = ranked.where("counts = 0").select(*SHELF, "price_minor", F.col("position").alias("above"))
+    ladder = ranked.where("counts = 1").select(
         *SHELF, F.floor(F.col("position") / RANK_BLOCK).alias("block"), "position", "variant_id", "title",
         F.col("price_minor").alias("item_price"), "currency", "category",
     )
@@ -122,8 +132,8 @@ def alternatives(
     reads = (
         asked.join(starts, [*SHELF, "price_minor"])
         .join(hidden, ["session_id", "shelf"], "left")
-        .withColumn("first", F.col("__offset") + 1)
-        .withColumn("last", F.col("__offset") + window + F.coalesce("n_hidden", F.lit(0)))
+        .withColumn("first", F.col("above") + 1)
+        .withColumn("last", F.col("above") + window + F.coalesce("n_hidden", F.lit(0)))
         .withColumn(
             "block",
             F.explode(

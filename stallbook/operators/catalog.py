@@ -41,11 +41,11 @@ def rows_written(incoming: DataFrame) -> DataFrame:
 def patch_catalog(current: DataFrame, changes: DataFrame, field: str, now: str) -> DataFrame:
     """One attribute (price_minor or availability) replaced where a change names the row.
 
-    Of several changes of a row the last one (largest `ord`) counts.
+    Of several changes of a row the last one (largest `ord`) counts, of equally late ones that with the largest value.
     """
     if field not in ("price_minor", "availability"):
         raise ValueError(f"{field} is not a patchable attribute")
-    last = changes.groupBy(*KEY).agg(F.max_by(field, "ord").alias("new_value"))
+    last = changes.groupBy(*KEY).agg(F.max_by(field, F.struct("ord", field)).alias("new_value"))
     patched = current.join(last, KEY, "left")
     changed = F.col("new_value").isNotNull()
     return patched.withColumn(

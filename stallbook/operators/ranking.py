@@ -21,90 +21,59 @@ def _before(partition: list[str], *order: Column | str):
     )
 
 
-def positions(df: DataFrame, group: list[str], order: list[Column | str], target: str) -> DataFrame:
-    """1-based position of each row by `order` within its group, as a distributed prefix sum.
-
-    Rows are dealt by range of (group, order) and sorted, so a partition holds consecutive rows whatever the order
-    values are and however many rows a group has. What precedes a row in its group is what precedes it in its
-    partition, plus the group's rows in earlier partitions: counts per (partition, group) and a running sum over the
-    partitions that a group spans. The dealt rows are written once, since partition numbers must not change between
-    the two reads; a lost executor costs a read. Rows that tie on `order` get distinct positions, one after the
-    other; rows that must be told apart need another order column. Nulls in `group` are a group, nulls in `order`
-    come first. An empty table gives no rows.
-    """
+def _dealt(df: DataFrame, group: list[str], order: list[Column | str], purpose: str) -> DataFrame:
+    """The rows by range of (group, order), with their partition and place in it; written, as both must not change."""
     keys = [*group, *order]
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "positions").withColumns(
+    return written(dealt.withColumn("__at", F.monotonically_increasing_id()), purpose).withColumns(
         {"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND((1 << 33) - 1)}
     )
-    starts = dealt.groupBy("__part", *group).agg(F.min("__row").alias("__start"), F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(_before(group, "__part")), F.lit(0)) - F.col("__start")
+
+
+def _with_offsets(rows: DataFrame, starts: DataFrame, group: list[str], offset: Column) -> DataFrame:
+    """Adds __offset, a function of what the group has in earlier partitions, to the rows of each (partition, group)."""
     offsets = starts.select(
-        F.col("__part").alias("__in_part"), *(F.col(g).alias(f"__of_{k}") for k, g in enumerate(group)), before.alias("__offset")
+        F.col("__part").alias("__in_part"), *(F.col(g).alias(f"__of_{k}") for k, g in enumerate(group)),
+        offset.alias("__offset"),
     )
     same = F.col("__part") == F.col("__in_part")
     for k, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__of_{k}"))
-    placed = dealt.join(offsets, same).withColumn(target, (F.col("__row") + F.col("__offset") + 1).cast("bigint"))
-    return placed.select(*df.columns, target)
-
+    return rows.join(offsets, same)
 
-def tie_digest(c: Column | str) -> Column:
-    """Even, engine-independent order among rows that are otherwise equal."""
-    return F.md5((F.col(c) if isinstance(c, str) else c).cast("string"))
 
+def positions(df: DataFrame, group: list[str], order: list[Column | str], target: str) -> DataFrame:
+    """1-based position of each row by `order` within its group, as a distributed prefix sum.
 
-def levels_with_probes(
-    rows: DataFrame, probes: DataFrame, group: list[str], value: str, width: int
-) -> tuple[DataFrame, DataFrame]:
-    """Counts rows above each value, for the rows and for bounds asked about.
+    Rows are dealt by range of (group, order) and sorted, so a partition holds consecutive rows whatever the order
+    values are and however many rows a group has. What precedes a row in its group is what precedes it in its
+    partition, plus the group's rows in earlier partitions: counts per (partition, group) and a running sum over the
+    partitions that a group spans. The dealt rows are written once, since partition numbers must not change between
+    the two reads; a lost executor costs a read. Rows that tie on `order` get distinct positions, one after the
+    other; rows that must be told apart need another order column. Nulls in `group` are a group, nulls in `order`
+    come first. An empty table gives no rows.
+    """
+    dealt = _dealt(df, group, order, "positions")
+    starts = dealt.groupBy("__part", *group).agg(F.min("__row").alias("__start"), F.count(F.lit(1)).alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(_before(group, "__part")), F.lit(0))
+    placed = _with_offsets(dealt, starts, group, earlier - F.col("__start"))
+    return placed.withColumn(target, (F.col("__row") + F.col("__offset") + 1).cast("bigint")).select(*df.columns, target)
 
-    Order is `value` descending, then the tie digest (column `__tie`). Returns
 
-    * fine offsets: (group, value, first two digits of the tie digest) -> rows before;
-    * probe offsets: (group, value) -> rows with a strictly larger value, for every
-      value in `probes`, also one that no row has.
+def prefix_sums(df: DataFrame, group: list[str], order: list[Column | str], weight: str, target: str) -> DataFrame:
+    """Sum of `weight` up to and with each row by `order` within its group: `positions` for rows that count unequally.
 
-    Values go into slices of `width`. A window holds the slices of a group, or the
-    256 tie classes of at most `width` values: bounded, however many rows share a value.
+    Running sums inside a (partition, group), which is never more than a partition, and sums of the group's earlier
+    partitions, by the same exchange. Rows that tie on `order` are summed one after the other.
     """
-    fine = (
-        rows.withColumn("__tie2", F.substring("__tie", 1, 2))
-        .groupBy(*group, value, "__tie2")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    # Bounds join as empty levels in front of their value; '' sorts before any digest.
-    asked = probes.select(*group, value).distinct().select(
-        *group, value, F.lit("").alias("__tie2"), F.lit(0).cast("bigint").alias("__n")
-    )
-    levels = fine.unionByName(asked).withColumn("__slice", F.floor(F.col(value) / F.lit(width)))
-    slices = levels.groupBy(*group, "__slice").agg(F.sum("__n").alias("__sn"))
-    slice_offsets = slices.withColumn(
-        "__above",
-        F.coalesce(F.sum("__sn").over(_before(group, F.desc("__slice"))), F.lit(0)),
-    ).drop("__sn")
-    inside = _before([*group, "__slice"], F.desc(value), F.asc("__tie2"))
-    counted = (
-        levels.withColumn("__within", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-        .join(slice_offsets, [*group, "__slice"])
-        .select(*group, value, "__tie2", (F.col("__above") + F.col("__within")).alias("__offset"))
-    )
-    return (
-        counted.where(F.col("__tie2") != ""),
-        counted.where(F.col("__tie2") == "").drop("__tie2"),
-    )
+    dealt = _dealt(df, group, order, "prefix-sums")
+    starts = dealt.groupBy("__part", *group).agg(F.sum(weight).alias("__n"))
+    inside = Window.partitionBy("__part", *group).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    running = dealt.withColumn("__run", F.sum(weight).over(inside))
+    summed = _with_offsets(running, starts, group, F.coalesce(F.sum("__n").over(_before(group, "__part")), F.lit(0)))
+    return summed.withColumn(target, (F.col("__run") + F.col("__offset")).cast("bigint")).select(*df.columns, target)
 
 
-def with_position(
-    rows: DataFrame, fine_offsets: DataFrame, group: list[str], value: str, target: str
-) -> DataFrame:
-    """1-based position by (value descending, tie digest), from the fine offsets."""
-    keys = [*group, value, "__tie2"]
-    inside = Window.partitionBy(*keys).orderBy("__tie")
-    return (
-        rows.withColumn("__tie2", F.substring("__tie", 1, 2))
-        .withColumn("__inside", F.row_number().over(inside))
-        .join(fine_offsets, keys)
-        .withColumn(target, (F.col("__offset") + F.col("__inside")).cast("bigint"))
-        .drop("__tie2", "__inside", "__offset")
-    )
+def tie_digest(c: Column | str) -> Column:
+    """Even, engine-independent order among rows that are otherwise equal."""
+    return F.md5((F.col(c) if isinstance(c, str) else c).cast("string"))

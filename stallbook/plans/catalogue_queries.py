@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digest, flags, money, options, quantity, text
-from ..functions.fixed import CATEGORIES, KNOWN_HEADERS, UNITS
+from ..functions.fixed import CATEGORIES, FAILURE_PATTERNS, KNOWN_HEADERS, OTHER_FAILURE, UNITS
 from ..operators import catalog, feed, grid, normalize
 from ..session import shared_folder, written
-from ..sources.cells import read_cells
+from ..sources.cells import cells_from_arrays, read_cells
 from ..sources.readings import read_extractions
 from ..sources.tables import feed_digest, publish, read_feed, write_feed
 from .checkout_queries import hmac_sql
@@ -237,6 +237,36 @@ def cells_ids(spark, sf):
     )
 
 
+_ASKED = """SELECT c_custkey, kind, CASE c_custkey % 5 WHEN 0 THEN upper(id) WHEN 1 THEN id || '/..' WHEN 2 THEN substr(id, 2) ELSE id END AS id FROM (
+  SELECT c_custkey, 'job' AS kind, 'job_' || substr(sha256(c_name), 1, 16) AS id FROM customer UNION ALL
+  SELECT c_custkey, 'session', 'cs_' || substr(sha256(c_name), 1, 24) FROM customer UNION ALL
+  SELECT c_custkey, 'feed', 'feed_' || c_name FROM customer UNION ALL SELECT c_custkey, 'merchant', replace(c_name, '#', '-') FROM customer)"""
+
+
+@query(
+    "cells_id_shapes",
+    f"""
+SELECT c_custkey, kind, id, CASE kind WHEN 'job' THEN regexp_matches(id, '^job_[0-9a-f]{{16}}$') WHEN 'session' THEN regexp_matches(id, '^cs_[0-9a-f]{{24}}$')
+  ELSE regexp_matches(id, '^[A-Za-z0-9_-]{{1,64}}$') END AS admitted FROM ({_ASKED})""",
+)
+def cells_id_shapes(spark, sf):
+    """Ids as requests name them: admitted to storage by their shape, or turned away."""
+    hashed = lambda n: F.left(F.sha2("c_name", 256), F.lit(n))
+    asked = {
+        "job": F.concat(F.lit("job_"), hashed(16)), "session": F.concat(F.lit("cs_"), hashed(24)),
+        "feed": F.concat(F.lit("feed_"), "c_name"), "merchant": F.replace("c_name", F.lit("#"), F.lit("-")),
+    }
+    rules = {"job": text.valid_job_id, "session": text.valid_session_id, "feed": text.valid_feed_id, "merchant": text.valid_merchant_id}
+    spoilt = lambda c: F.when(F.col("c_custkey") % 5 == 0, F.upper(c)).when(F.col("c_custkey") % 5 == 1, F.concat(c, F.lit("/.."))).when(
+        F.col("c_custkey") % 5 == 2, F.substring(c, 2, 1000)).otherwise(c)
+    ids = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), spoilt(c).alias("id")) for k, c in asked.items()))).alias("x")
+    named = table(spark, sf, "customer").select("c_custkey", ids).select("c_custkey", "x.*")
+    admitted = F.lit(False)
+    for kind, rule in rules.items():
+        admitted = F.when(F.col("kind") == kind, rule("id")).otherwise(admitted)
+    return named.withColumn("admitted", admitted)
+
+
 @query(
     "cells_report_forms",
     """
@@ -279,11 +309,9 @@ def cells_labels(spark, sf):
 
 @query(
     "cells_failure_codes",
-    """
-SELECT batch_index, ord, CASE WHEN regexp_matches(error, '(?i)429|quota|rate limit') THEN 'PROVIDER_RATE_LIMITED'
-  WHEN regexp_matches(error, '(?i)schema validation|not valid JSON') THEN 'EXTRACTION_MALFORMED'
-  WHEN regexp_matches(error, '(?i)truncated|MAX_TOKENS|finish_reason=length') THEN 'EXTRACTION_TRUNCATED'
-  WHEN regexp_matches(error, '(?i)blocked|refus') THEN 'PROVIDER_REFUSED' ELSE 'PROVIDER_ERROR' END AS code FROM outcomes WHERE error IS NOT NULL""",
+    f"""
+SELECT batch_index, ord, CASE {' '.join(f"WHEN regexp_matches(error, '{p}') THEN '{c}'" for p, c in FAILURE_PATTERNS)} ELSE '{OTHER_FAILURE}' END AS code
+FROM outcomes WHERE error IS NOT NULL""",
     ("outcomes",),
 )
 def cells_failure_codes(spark, sf):
@@ -339,6 +367,20 @@ def cells_read_back(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "cells_of_arrays",
+    f"""
+SELECT 'documents' AS file, source AS sheet, CAST(doc_id AS INTEGER) AS "row", CAST(i AS INTEGER) AS col, {trim_sql('v')} AS text, CAST(doc_id AS INTEGER) AS master_row
+FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
+)
+def cells_of_arrays(spark, sf):
+    """Rows that come as arrays of values: the lines of every document as the cells of one row."""
+    rows = table(spark, sf, "documents").select(
+        F.lit("documents").alias("file"), F.col("source").alias("sheet"), F.col("doc_id").alias("row"), F.split("text", "\n").alias("values")
+    )
+    return cells_from_arrays(rows)
+
+
 @query(
     "grid_fill_merges",
     """

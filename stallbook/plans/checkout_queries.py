@@ -141,8 +141,8 @@ def cart_aggregate_items(spark, sf):
     "cart_price_lines",
     "WITH " + LINES_SQL.strip() + """
 SELECT session_id, item_id, quantity, pos, error, CASE WHEN error IS NULL THEN price_minor * quantity END AS amount_minor,
-  CASE error WHEN 'unknown_item' THEN 'No such item: ' || item_id WHEN 'out_of_stock' THEN title || ' is out of stock'
-    WHEN 'bad_quantity' THEN 'Quantity must be a whole number between 1 and 99' END AS message,
+  CASE error WHEN 'unknown_item' THEN item_id || ': not in the catalogue' WHEN 'out_of_stock' THEN title || ': sold out'
+    WHEN 'bad_quantity' THEN item_id || ': 1 to 99 pieces can be ordered' END AS message,
   CASE WHEN error = 'out_of_stock' THEN error WHEN error IS NOT NULL THEN 'invalid' END AS error_code
 FROM lines""",
     CART_TABLES,
@@ -195,14 +195,14 @@ def cart_totals_long(spark, sf):
 @query(
     "cart_creation_events",
     "WITH " + LINES_SQL.strip() + """,
-said AS (SELECT session_id, string_agg(CASE error WHEN 'unknown_item' THEN 'No such item: ' || item_id
-  WHEN 'out_of_stock' THEN title || ' is out of stock' ELSE 'Quantity must be a whole number between 1 and 99' END, '; ' ORDER BY pos) AS m
+said AS (SELECT session_id, string_agg(CASE error WHEN 'unknown_item' THEN item_id || ': not in the catalogue'
+  WHEN 'out_of_stock' THEN title || ': sold out' ELSE item_id || ': 1 to 99 pieces can be ordered' END, '; ' ORDER BY pos) AS m
   FROM lines WHERE error IS NOT NULL GROUP BY 1),
 counted AS (SELECT session_id, count(*) AS n FROM requested GROUP BY 1)
 SELECT c.session_id, c.merchant_id, 'agent' AS actor, 'session.create' AS action,
   CASE WHEN payable THEN 'allowed' ELSE 'refused' END AS outcome, cart_status AS session_status_at_event,
   CASE WHEN NOT payable THEN 'CART_NOT_PAYABLE' END AS reason_code,
-  CASE WHEN NOT payable THEN coalesce(m, 'The cart is not payable as it stands') END AS reason_human,
+  CASE WHEN NOT payable THEN coalesce(m, 'there is nothing in this cart to pay for') END AS reason_human,
   coalesce(n, 0) AS item_count
 FROM carts c LEFT JOIN said USING (session_id) LEFT JOIN counted USING (session_id)""",
     CART_TABLES,
@@ -378,17 +378,17 @@ SELECT session_id, reason_code, reason_code IS NULL AS ok, pre IS NULL AS peers_
     CASE WHEN k3 IS NOT NULL THEN 'ceiling' END, CASE WHEN k4 IS NOT NULL THEN 'category' END, CASE WHEN k5 IS NOT NULL THEN 'item_count' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS failed,
   CASE WHEN pre IS NULL THEN array_to_string(list_filter([CASE WHEN k1 IS NULL THEN 'validity_window' END, CASE WHEN k2 IS NULL THEN 'single_use' END,
     CASE WHEN k3 IS NULL THEN 'ceiling' END, CASE WHEN k4 IS NULL THEN 'category' END, CASE WHEN k5 IS NULL THEN 'item_count' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS passed,
-  CASE reason_code WHEN 'MANDATE_MISSING' THEN 'No mandate was presented; this seller requires one to charge'
-    WHEN 'MANDATE_SIGNATURE_INVALID' THEN CASE WHEN signature_valid THEN 'Mandate ' || mandate_id || ' carries an unreadable validity window'
-      ELSE 'Mandate ' || mandate_id || ' did not verify against its signature' END
-    WHEN 'MANDATE_CURRENCY_MISMATCH' THEN 'Cart is in INR but mandate authorises ' || max_currency
-    WHEN 'MANDATE_NOT_YET_VALID' THEN 'Mandate ' || mandate_id || ' is not valid until ' || issued_at
-    WHEN 'MANDATE_EXPIRED' THEN 'Mandate ' || mandate_id || ' expired at ' || expires_at
-    WHEN 'MANDATE_ALREADY_CONSUMED' THEN 'Mandate ' || mandate_id || ' is single-use and has already been spent'
-    WHEN 'MANDATE_CEILING_EXCEEDED' THEN 'Cart total ' || total_minor || ' exceeds mandate ceiling ' || max_value
-    WHEN 'MANDATE_CATEGORY_NOT_PERMITTED' THEN 'Cart contains a ' || list_filter(cart_categories, lambda x: NOT list_contains(categories, x))[1]
-      || ' item but the mandate authorises only ' || CASE WHEN len(categories) = 0 THEN 'nothing' ELSE array_to_string(categories, ', ') END
-    WHEN 'MANDATE_ITEM_COUNT_EXCEEDED' THEN 'Cart has ' || n_lines || ' items but the mandate authorises ' || max_items END AS reason_human
+  CASE reason_code WHEN 'MANDATE_MISSING' THEN 'charging needs a mandate, and none came with the request'
+    WHEN 'MANDATE_SIGNATURE_INVALID' THEN CASE WHEN signature_valid THEN mandate_id || ': its start or end is no timestamp'
+      ELSE mandate_id || ': wrong signature' END
+    WHEN 'MANDATE_CURRENCY_MISMATCH' THEN mandate_id || ': allows ' || max_currency || ', asked for INR'
+    WHEN 'MANDATE_NOT_YET_VALID' THEN mandate_id || ': starts on ' || issued_at
+    WHEN 'MANDATE_EXPIRED' THEN mandate_id || ': over since ' || expires_at
+    WHEN 'MANDATE_ALREADY_CONSUMED' THEN mandate_id || ': good for one purchase, which was made'
+    WHEN 'MANDATE_CEILING_EXCEEDED' THEN mandate_id || ': allows up to ' || max_value || ', asked for ' || total_minor
+    WHEN 'MANDATE_CATEGORY_NOT_PERMITTED' THEN mandate_id || ': allows ' || CASE WHEN len(categories) = 0 THEN 'no category' ELSE array_to_string(categories, ', ') END
+      || ', asked for ' || list_filter(cart_categories, lambda x: NOT list_contains(categories, x))[1]
+    WHEN 'MANDATE_ITEM_COUNT_EXCEEDED' THEN mandate_id || ': allows ' || max_items || ' lines, asked for ' || n_lines END AS reason_human
 FROM verdicts""",
     GATE_TABLES,
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,16 +107,16 @@ def events_folded(spark, sf):
 @query(
     "events_reasons",
     "WITH " + FOLD_SQL.strip() + """
-SELECT event_id, CASE reason_code WHEN 'SESSION_UNKNOWN' THEN 'Event ' || event || ' names session ' || coalesce(session_id, '(none)') || ', which does not exist here'
-  WHEN 'ALREADY_COMPLETED' THEN 'Session was already completed; nothing to change'
-  WHEN 'LATE_AUTH_AFTER_TERMINAL' THEN 'Payment ' || coalesce(payment_id, '(unknown)') || ' captured against a session that was ' || status || '; fulfil or refund is an operator decision'
-  WHEN 'AMOUNT_MISMATCH' THEN 'Paid ' || coalesce(CAST(amount_paid_minor AS VARCHAR), 'null') || ' does not equal the session total ' || total_minor || '; session left unchanged'
-  WHEN 'CURRENCY_MISMATCH' THEN 'Paid in ' || currency || ', session is in ' || session_currency
-  WHEN 'PAYMENT_CAPTURED' THEN 'Payment ' || coalesce(payment_id, '(unknown)') || ' captured for ' || total_minor
-  WHEN 'EXPIRY_AFTER_COMPLETION' THEN 'Link expiry arrived after the session completed; completion stands'
-  WHEN 'ALREADY_TERMINAL' THEN 'Session was already ' || status WHEN 'LINK_EXPIRED' THEN 'Payment link expired without payment'
-  WHEN 'CANCEL_AFTER_COMPLETION' THEN 'Link cancellation arrived after the session completed; completion stands'
-  WHEN 'LINK_CANCELLED' THEN 'Payment link cancelled by the provider' ELSE 'No rule for ' || event END AS reason_human FROM folded""",
+SELECT event_id, CASE reason_code WHEN 'SESSION_UNKNOWN' THEN event || ': no session ' || coalesce(session_id, 'is named')
+  WHEN 'ALREADY_COMPLETED' THEN 'paid before; this payment event is only noted'
+  WHEN 'LATE_AUTH_AFTER_TERMINAL' THEN coalesce(payment_id, 'a payment without id') || ': money for a session that is ' || status || '; somebody has to deliver or pay back'
+  WHEN 'AMOUNT_MISMATCH' THEN 'owed ' || total_minor || ', got ' || coalesce(CAST(amount_paid_minor AS VARCHAR), 'no amount') || '; the session stays open'
+  WHEN 'CURRENCY_MISMATCH' THEN 'owed in ' || session_currency || ', got ' || currency
+  WHEN 'PAYMENT_CAPTURED' THEN coalesce(payment_id, 'a payment without id') || ': ' || total_minor || ' received'
+  WHEN 'EXPIRY_AFTER_COMPLETION' THEN 'the link ran out after it was paid; the sale stands'
+  WHEN 'ALREADY_TERMINAL' THEN 'nothing to end: the session is ' || status WHEN 'LINK_EXPIRED' THEN 'the link ran out unpaid'
+  WHEN 'CANCEL_AFTER_COMPLETION' THEN 'the link was withdrawn after it was paid; the sale stands'
+  WHEN 'LINK_CANCELLED' THEN 'the provider withdrew the link' ELSE event || ': not acted on' END AS reason_human FROM folded""",
     FOLD_TABLES,
 )
 def events_reasons(spark, sf):
@@ -166,6 +168,54 @@ def stream_events_folded(spark, sf):
     return spark.read.schema(payments.AUDIT_SCHEMA).parquet(f"{folder}/audit").select(*_FOLDED)
 
 
+HORIZON = timedelta(hours=6)
+#: Second deliveries come 0 to 12 hours after the first; events are fed and ordered by the time they were received.
+_LATER = """
+again AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS copy FROM admitted WHERE reject IS NULL),
+received AS (SELECT * REPLACE (received_at + INTERVAL 4 HOUR * (CASE WHEN arrival % 10 = 5 THEN n % 4 ELSE 0 END) AS received_at) FROM again),
+timed AS (SELECT * REPLACE (CAST(epoch(date_trunc('second', received_at)) AS BIGINT) * 1000000000 + arrival AS arrival) FROM received),
+firsts AS (SELECT * FROM timed QUALIFY coalesce(received_at > lag(received_at) OVER (PARTITION BY event_id ORDER BY received_at, arrival) + INTERVAL 6 HOUR, true))"""
+_HORIZON_SQL = FOLD_SQL.replace(FOLD_SQL[FOLD_SQL.index("\nfirsts AS"):FOLD_SQL.index(",\nfaced AS")], _LATER)
+
+
+@query("stream_events_horizon", "WITH " + _HORIZON_SQL.strip() + _FOLDED_SQL, FOLD_TABLES)
+def stream_events_horizon(spark, sf):
+    """The fold with event ids remembered for six hours only: what is delivered again later counts as a new event."""
+    number = F.substring("event_id", 5, 30).try_cast("bigint")
+    hours = F.when(F.col("arrival") % 10 == 5, number % 4 * 4).otherwise(0)
+    raw = _raw(spark, sf).withColumn("received_at", F.col("received_at") + F.make_dt_interval(hours=F.coalesce(hours, F.lit(0))))
+    timed = raw.withColumn("arrival", F.unix_seconds("received_at") * 1_000_000_000 + F.col("arrival"))
+    sessions = table(spark, sf, "sessions")
+    folder = _in_parts(
+        written(timed, "raw-events"), spark, "events-horizon",
+        lambda stream, folder: payments.start_fold(stream, sessions, SECRET, folder, HORIZON),
+    )
+    return spark.read.schema(payments.AUDIT_SCHEMA).parquet(f"{folder}/audit").select(*_FOLDED)
+
+
+@query(
+    "stream_sessions_expired",
+    """
+WITH latest AS (SELECT *, max(updated_at) OVER () AS now FROM (
+  SELECT session_id, CASE WHEN n % 10 = 7 THEN 'completed' ELSE status END AS status, updated_at + INTERVAL 1 DAY * (CASE WHEN n % 10 = 7 THEN 1 ELSE 0 END) AS updated_at, link_expires_at
+  FROM (SELECT *, CAST(substr(session_id, 4) AS BIGINT) AS n FROM sessions)))
+SELECT l.session_id, l.link_expires_at + INTERVAL 120 SECOND AS expired_at FROM latest l JOIN sessions s USING (session_id)
+WHERE s.status = 'complete_in_progress' AND l.link_expires_at + INTERVAL 120 SECOND <= CASE WHEN l.status = 'completed' THEN l.updated_at ELSE l.now END""",
+    ("sessions",),
+)
+def stream_sessions_expired(spark, sf):
+    """Pending sessions expired by timers as time passes; one in ten is paid a day after it was opened."""
+    number = F.substring("session_id", 4, 30).cast("bigint")
+    opened = table(spark, sf, "sessions").select("session_id", "status", "link_expires_at", "updated_at")
+    paid = opened.where(number % 10 == 7).withColumn("status", F.lit("completed")).withColumn(
+        "updated_at", F.col("updated_at") + F.expr("INTERVAL 1 DAY")
+    )
+    updates = opened.withColumn("turn", F.lit(0)).unionByName(paid.withColumn("turn", F.lit(1)))
+    updates = updates.withColumn("arrival", F.unix_seconds("updated_at") * 10 + F.col("turn"))
+    folder = _in_parts(written(updates.drop("turn"), "updates"), spark, "expiry", payments.start_expiry)
+    return spark.read.schema(payments.EXPIRED_SCHEMA).parquet(f"{folder}/expired").select("session_id", "expired_at")
+
+
 @query(
     "stream_requests_arbitrated",
     """

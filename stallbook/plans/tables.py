@@ -307,14 +307,25 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Tables whose rows cost much to work on; a given table in few files would leave that to few tasks.
+COSTLY = {"doc_lines", "mandates", "raw_events", "sheet_parts"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A domain table (or a given one) as a DataFrame."""
+    """A domain table (or a given one) as a DataFrame.
+
+    The costly ones are rebalanced, by adaptive execution and by bytes, where their source has fewer files than there
+    are cores; else the files' own splits are enough and nothing is shuffled.
+    """
     configure(spark)
     if name in GIVEN:
         return given(spark, folder, name)
     sql = SPLIT_TABLES[name][0] if name in SPLIT_TABLES else _spark_text(TABLES[name])
     parts = {n: table(spark, folder, n) for n in _names(sql)}
-    return spark.sql(sql, **parts)
+    made = spark.sql(sql, **parts)
+    if name in COSTLY and len(made.inputFiles()) < spark.sparkContext.defaultParallelism:
+        return made.hint("rebalance")
+    return made
 
 
 def with_tables(body: str, *names: str) -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.feed import check_feed, check_metadata
 from ..operators.ranking import positions
+from ..session import written
 
 PRICE = "struct<amount:bigint,currency:string>"
 MEDIA = "array<struct<type:string,url:string,alt_text:string>>"
@@ -21,29 +24,64 @@ PRODUCT_SCHEMA = (
 DIGEST_LINES, DIGEST_LEVELS = 4096, 3
 
 
+_MANIFEST = "feed_id string, products string, metadata string"
+_POINTER = "number bigint, version string"
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """Number of the latest publish, and (feed_id, products, metadata): the versions that are on sale after it."""
+    spark.createDataFrame([], _POINTER).write.mode("ignore").parquet(f"{path}/pointer")
+    last = spark.read.schema(_POINTER).parquet(f"{path}/pointer").agg(
+        F.max("number").alias("number"), F.max_by("version", "number").alias("version")
+    ).first()
+    if last["number"] is None:
+        return 0, spark.createDataFrame([], _MANIFEST)
+    return last["number"], spark.read.schema(_MANIFEST).parquet(f"{path}/manifests/{last['version']}")
+
+
 def write_feed(lines: DataFrame, metadata: DataFrame, path: str) -> None:
-    """Replaces the feeds named in `lines` and `metadata`; other feeds stay as they are.
+    """Replaces the feeds named in `lines` and `metadata`, all at once; other feeds stay as they are.
 
-    A feed of `metadata` without lines is replaced by an empty product, which readers skip: a
-    partition without rows would leave its earlier lines on sale.
+    Lines and metadata go into folders of a new version; the manifest says for each feed which version of either is on
+    sale. One row appended to the pointer puts a manifest in force. Whatever fails before that changes nothing
+    for readers, and a reader sees lines and metadata of the same publish. A feed of `metadata` without lines has no
+    products from then on. Earlier versions stay; one publish runs at a time on a store.
     """
-    replace = {"partitionOverwriteMode": "dynamic"}
-    emptied = metadata.select(F.col("id").alias("feed_id")).join(lines.select("feed_id").distinct(), "feed_id", "left_anti")
-    full = lines.select("feed_id", "first_row", "product.*").unionByName(emptied, allowMissingColumns=True)
-    full.sortWithinPartitions("feed_id", "first_row").drop("first_row").write.mode("overwrite").options(
-        **replace
-    ).partitionBy("feed_id").json(f"{path}/products")
-    metadata.withColumn("feed_id", F.col("id")).write.mode("overwrite").options(**replace).partitionBy(
+    spark = lines.sparkSession
+    number, before = _manifest(spark, path)
+    version = f"{number + 1:012d}-{uuid.uuid4().hex[:12]}"
+    lines.select("feed_id", "first_row", "product.*").sortWithinPartitions("feed_id", "first_row").drop("first_row").write.partitionBy(
         "feed_id"
-    ).json(f"{path}/metadata")
+    ).json(f"{path}/products/version={version}")
+    metadata.withColumn("feed_id", F.col("id")).write.partitionBy("feed_id").json(f"{path}/metadata/version={version}")
+
+    named = lambda kind: _stored(spark, path, kind, version).select("feed_id").distinct()
+    touched = named("products").withColumn("has_lines", F.lit(True)).join(
+        named("metadata").withColumn("has_metadata", F.lit(True)), "feed_id", "full"
+    )
+    now = F.lit(version)
+    after = before.join(touched, "feed_id", "full").select(
+        "feed_id",
+        F.when(F.col("has_lines") | F.col("has_metadata"), now).otherwise(F.col("products")).alias("products"),
+        F.when(F.col("has_metadata"), now).otherwise(F.col("metadata")).alias("metadata"),
+    )
+    after.write.parquet(f"{path}/manifests/{version}")
+    put_in_force(spark, path, number + 1, version)
+
+
+def put_in_force(spark: SparkSession, path: str, number: int, version: str) -> None:
+    """The one write that readers notice: a single file with a single row."""
+    spark.createDataFrame([(number, version)], _POINTER).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
 def publish(lines: DataFrame, metadata: DataFrame, path: str) -> DataFrame:
-    """Writes the feeds that keep to the schema and returns the violations of the others.
+    """Publishes the feeds that keep to the schema and returns the violations of the others.
 
-    A feed with any violation, in a line or in its metadata, stays as it was published before.
+    A feed with any violation, in a line or in its metadata, stays as it was published before. Lines and violations
+    are computed once and before anything is published.
     """
-    broken = check_feed(lines).unionByName(check_metadata(metadata))
+    lines = written(lines, "lines")
+    broken = written(check_feed(lines).unionByName(check_metadata(metadata)), "violations")
     bad = broken.select("feed_id").distinct()
     write_feed(
         lines.join(bad, "feed_id", "left_anti"), metadata.join(bad.withColumnRenamed("feed_id", "id"), "id", "left_anti").where("id is not null"), path
@@ -51,14 +89,38 @@ def publish(lines: DataFrame, metadata: DataFrame, path: str) -> DataFrame:
     return broken
 
 
+_STORED = {
+    "products": PRODUCT_SCHEMA,
+    "metadata": "id string, target_country string, updated_at string",
+}
+
+
+def _stored(spark: SparkSession, path: str, kind: str, version: str | None = None) -> DataFrame:
+    """What is stored of one kind, of all versions or of one; a condition on feed_id reads the folders of that feed."""
+    folder = f"{path}/{kind}" + (f"/version={version}" if version else "")
+    schema = _STORED[kind] + ", feed_id string" + ("" if version else ", version string")
+    return spark.read.schema(schema).option("basePath", folder).json(folder)
+
+
 def read_feed(spark: SparkSession, path: str, feed_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(product lines, metadata). Blank lines are skipped; one feed reads its partition only."""
-    lines = spark.read.schema(PRODUCT_SCHEMA + ", feed_id string").json(f"{path}/products").where("id is not null")
-    metadata = spark.read.schema("id string, target_country string, updated_at string, feed_id string").json(
-        f"{path}/metadata"
-    )
+    """(product lines, metadata) of the publish in force. Blank lines are skipped; one feed reads its own folders only."""
+    _, manifest = _manifest(spark, path)
     if feed_id is not None:
-        lines, metadata = lines.where(F.col("feed_id") == feed_id), metadata.where(F.col("feed_id") == feed_id)
+        manifest = manifest.where(F.col("feed_id") == feed_id)
+
+    def in_force(kind: str) -> DataFrame:
+        if feed_id is None:
+            on_sale = manifest.select("feed_id", F.col(kind).alias("version"))
+            return _stored(spark, path, kind).join(on_sale, ["feed_id", "version"], "left_semi").drop("version")
+        version = manifest.first()[kind]
+        if version is None:
+            return spark.createDataFrame([], _STORED[kind] + ", feed_id string")
+        return _stored(spark, path, kind, version).where(F.col("feed_id") == feed_id)
+
+    if manifest.isEmpty():
+        lines, metadata = (spark.createDataFrame([], _STORED[k] + ", feed_id string") for k in ("products", "metadata"))
+    else:
+        lines, metadata = in_force("products").where("id is not null"), in_force("metadata")
     return lines.select("feed_id", F.struct(*[c for c in lines.columns if c != "feed_id"]).alias("product")), metadata
 
 

@@ -1,41 +1,40 @@
-"""Idempotent requests as a stream: the owner of a key is remembered between batches."""
+"""Idempotent requests as a stream: the owner of a key is remembered between batches, by key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
+from ..functions.digest import sha256_hex
 from ..operators.cart import REQUEST_KEY, arbitrate
 from ..session import configure
 from ..sources.tables import replace_batch
+from .state import FirstOwner, run_available
 
-OWNER_SCHEMA = (
-    "merchant_id string, key string, endpoint string, arrival bigint, request_sha256 string, "
-    "finished_at timestamp, response_status int, batch_id bigint"
-)
+OWNER = "arrival bigint, request_sha256 string, finished_at timestamp, response_status int"
 
 
 def start_arbitration(requests: DataFrame, folder: str) -> StreamingQuery:
-    """Judges the requests of a stream; decisions and owners are tables in `folder`."""
-    spark = requests.sparkSession
-    owners_path, decisions_path = f"{folder}/owners", f"{folder}/decisions"
-    spark.createDataFrame([], OWNER_SCHEMA).write.mode("ignore").partitionBy("batch_id").parquet(owners_path)
+    """Judges the requests of a stream; decisions are a table in `folder`, owners are state.
+
+    A key belongs to the first batch that names it, in that batch to its earliest arrival. What a batch reads is its
+    own rows and the state of its own keys, however many keys were ever used. A repeated batch
+    starts from the same state and overwrites its own decisions. Keys are kept for ever.
+    """
+    hashed = requests.withColumn("response_status", F.col("response_status").cast("int")).withColumn(
+        "request_sha256", sha256_hex(F.coalesce("body", F.lit("null")))
+    )
+    schema = StructType([*hashed.schema.fields, StructField("owner", StructType.fromDDL(OWNER))])
+    faced = hashed.groupBy(*REQUEST_KEY).transformWithState(FirstOwner(OWNER, "arrival"), schema, "Append", "None")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         session = configure(batch.sparkSession)
-        owners = session.read.schema(OWNER_SCHEMA).parquet(owners_path).where(F.col("batch_id") < batch_id)
-        replace_batch(arbitrate(batch, owners), decisions_path, batch_id)
-        decided = session.read.parquet(decisions_path).where(F.col("batch_id") == batch_id)
-        fresh = decided.where("decision = 'proceed'").select(
-            *REQUEST_KEY, "arrival", "request_sha256", "finished_at",
-            F.col("response_status").cast("int").alias("response_status"),
-        )
-        replace_batch(fresh, owners_path, batch_id)
-
-    return (
-        requests.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
+        # The state is moved on once: everything else reads the written rows.
+        replace_batch(batch, f"{folder}/faced", batch_id)
+        faced = session.read.schema(schema).parquet(f"{folder}/faced/batch_id={batch_id}")
+        owners = faced.where("owner is not null").select(*REQUEST_KEY, "owner.*").distinct()
+        replace_batch(arbitrate(faced.drop("owner"), owners), f"{folder}/decisions", batch_id)
+
+    return run_available(faced.writeStream, folder, one_batch, requests.sparkSession)

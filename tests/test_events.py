@@ -1,11 +1,16 @@
+import datetime
 import hashlib
 import hmac
 import json
 import random
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
+from stallbook.operators import cart
 from stallbook.sources.payments import parse_events
-from stallbook.streaming import payments
+from stallbook.streaming import payments, requests
 
 SECRET = "s"
 SESSIONS = "session_id string, status string, currency string, snapshot_total_minor bigint, order_id string"
@@ -107,16 +112,151 @@ def test_stream_equals_batch_and_survives_redelivery(spark):
     assert all(after[s] == t for _, _, _, t, s in [(*x, e[2]) for x, e in zip(got, events)] if t)
 
 
+def folder():
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def feed(spark, path, rows, schema):
+    """Appends rows as one file, which makes them one batch of the stream."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(schema).parquet(f"{path}/in")
+
+
+def audit_of(spark, path):
+    rows = spark.read.schema(payments.AUDIT_SCHEMA).parquet(f"{path}/out/audit").orderBy("arrival").collect()
+    return [(r.arrival, r.session_status_at_event, r.reason_code, r.transition) for r in rows]
+
+
+def test_a_batch_that_fails_is_repeated_from_the_same_state(spark, monkeypatch):
+    sessions, events = scenario()
+    table = spark.createDataFrame(sessions, SESSIONS)
+    rows = [raw_row(f"e{a}", a, body(k, s, p, c)) for a, k, s, p, c in events]
+    path = folder()
+    payments.start_fold(feed(spark, path, rows[:100], RAW), table, SECRET, f"{path}/out").awaitTermination()
+    for stop in ("audit", "transitions"):
+        whole = payments.replace_batch
+
+        def failing(df, target, batch_id, stop=stop, whole=whole):
+            if target.endswith(stop):
+                raise RuntimeError("stopped")
+            whole(df, target, batch_id)
+
+        monkeypatch.setattr(payments, "replace_batch", failing)
+        more = rows[100:200] if stop == "audit" else []
+        stream = feed(spark, path, more, RAW) if more else spark.readStream.schema(RAW).parquet(f"{path}/in")
+        with pytest.raises(Exception):  # noqa: B017
+            payments.start_fold(stream, table, SECRET, f"{path}/out").awaitTermination()
+        monkeypatch.undo()
+    payments.start_fold(feed(spark, path, rows[200:] + rows[:60], RAW), table, SECRET, f"{path}/out").awaitTermination()
+    assert audit_of(spark, path) == sequential(events, sessions)
+
+
+def test_sessions_opened_while_the_stream_runs(spark):
+    sessions, events = scenario()
+    rows = [raw_row(f"e{a}", a, body(k, s, p, c)) for a, k, s, p, c in events]
+    path = folder()
+    early = spark.createDataFrame(sessions[:10], SESSIONS)
+    late = [r for r, e in zip(rows, events) if int(e[2][3:]) >= 10]
+    first = [r for r, e in zip(rows, events) if int(e[2][3:]) < 10]
+    for part, new in ((first, sessions[:1]), (late, sessions[10:])):  # the first one states a session again
+        spark.createDataFrame(new, SESSIONS).write.mode("append").parquet(f"{path}/opened")
+        opened = spark.readStream.schema(SESSIONS).parquet(f"{path}/opened")
+        payments.start_fold(feed(spark, path, part, RAW), early, SECRET, f"{path}/out", opened=opened).awaitTermination()
+    assert audit_of(spark, path) == sequential(events, sessions)
+
+
+TIMED = RAW + ", received_at timestamp"
+NOON = datetime.datetime(2024, 1, 1, 12)
+
+
+def hours(n):
+    return NOON + datetime.timedelta(hours=n)
+
+
 def test_horizon_keeps_forged_events_from_using_up_an_id(spark):
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    path = folder()
     good = raw_row("e1", 2, body("payment_link.paid", "cs_1"))
     rows = [("e1", 1, good[2], "0" * 64), good, ("e1", 3, *good[2:])]
-    schema = RAW + ", received_at timestamp"
-    import datetime
+    sessions = spark.createDataFrame([("cs_1", "complete_in_progress", "INR", 100, None)], SESSIONS)
+    stream = feed(spark, path, [(*r, NOON) for r in rows], TIMED)
+    payments.start_fold(stream, sessions, SECRET, f"{path}/out", datetime.timedelta(hours=1)).awaitTermination()
+    assert [c for _, _, c, _ in audit_of(spark, path)] == ["PAYMENT_CAPTURED"]
+    assert [r.arrival for r in spark.read.parquet(f"{path}/out/rejected").collect()] == [1]
 
-    at = datetime.datetime(2024, 1, 1)
-    spark.createDataFrame([(*r, at) for r in rows], schema).coalesce(1).write.parquet(f"{folder}/in")
+
+@pytest.mark.parametrize("portions", [1, 3])
+def test_ids_count_anew_beyond_the_horizon(spark, portions):
+    """What is decided depends on the times alone, however the rows are cut into batches."""
+    paid = body("payment_link.paid", "cs_1")
+    times = [0, 0.5, 1, 1.25, 2.5, 2.75, 9]  # with one hour: 0 and 1.25 and 2.5 and 9 count
+    rows = [(*raw_row("e1", n + 1, paid), hours(h)) for n, h in enumerate(times)]
     sessions = spark.createDataFrame([("cs_1", "complete_in_progress", "INR", 100, None)], SESSIONS)
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-    payments.start_fold(stream, sessions, SECRET, f"{folder}/out", horizon="1 hour").awaitTermination()
-    assert [r.reason_code for r in spark.read.parquet(f"{folder}/out/audit").collect()] == ["PAYMENT_CAPTURED"]
+    path, size = folder(), -(-len(rows) // portions)
+    for k in range(0, len(rows), size):
+        stream = feed(spark, path, rows[k:k + size], TIMED)
+        payments.start_fold(stream, sessions, SECRET, f"{path}/out", datetime.timedelta(hours=1)).awaitTermination()
+    got = audit_of(spark, path)
+    assert [a for a, *_ in got] == [1, 4, 5, 7] and [c for _, _, c, _ in got] == ["PAYMENT_CAPTURED"] + ["ALREADY_COMPLETED"] * 3
+
+
+def test_events_older_than_the_horizon_are_left_out(spark):
+    path = folder()
+    sessions = spark.createDataFrame([("cs_1", "complete_in_progress", "INR", 100, None)], SESSIONS)
+    rows = [(*raw_row(f"e{n}", n, body("payment_link.paid", "cs_1")), hours(h)) for n, h in ((1, 0), (2, 10), (3, 8), (4, 9.5), (5, 11))]
+    for row in rows:  # e3 comes two hours late, e4 half an hour
+        payments.start_fold(feed(spark, path, [row], TIMED), sessions, SECRET, f"{path}/out", datetime.timedelta(hours=1)).awaitTermination()
+    assert [a for a, *_ in audit_of(spark, path)] == [1, 2, 4, 5]
+
+
+UPDATES = "session_id string, status string, link_expires_at timestamp, updated_at timestamp, arrival bigint"
+
+
+def test_sessions_expire_as_the_batch_rule_says_at_each_watermark(spark):
+    random.seed(3)
+    rows = []
+    for n in range(60):
+        at = random.randint(0, 40)
+        rows.append((f"cs_{n}", random.choice(["complete_in_progress"] * 3 + ["completed"]), random.choice([None, hours(at + random.randint(-2, 20))]), hours(at), n))
+        if n % 4 == 0:
+            rows.append((f"cs_{n}", random.choice(["completed", "canceled", "complete_in_progress"]), random.choice([None, hours(at + 30)]), hours(at + random.randint(1, 12)), 100 + n))
+    rows.sort(key=lambda r: (r[3], r[4]))
+    path, done, size = folder(), [], -(-len(rows) // 3)
+    rows.insert(0, ("cs_now", "complete_in_progress", rows[-1][3] - datetime.timedelta(seconds=120), rows[0][3], -1))  # due just at the end
+    for k in range(0, len(rows), size):
+        payments.start_expiry(feed(spark, path, rows[k:k + size], UPDATES), path).awaitTermination()
+        done = rows[:k + size]
+        now = done[-1][3]
+        # Session by session: what was due before its next row, and among the latest rows what is due now.
+        expected = {}
+        for key in {r[0] for r in done}:
+            own = [r for r in done if r[0] == key]
+            for row, until in zip(own, [r[3] for r in own[1:]] + [now]):
+                if row[1] == "complete_in_progress" and row[2] is not None and row[2] + datetime.timedelta(seconds=120) <= until:
+                    expected.setdefault(key, []).append(row[2] + datetime.timedelta(seconds=120))
+        got = {}
+        for r in spark.read.schema(payments.EXPIRED_SCHEMA).parquet(f"{path}/expired").collect():
+            got.setdefault(r.session_id, []).append(r.expired_at)
+        assert {s: sorted(x) for s, x in got.items()} == expected
+    latest = spark.createDataFrame([max((r for r in done if r[0] == s), key=lambda r: (r[3], r[4])) for s in {r[0] for r in done}], UPDATES)
+    due = {r.session_id for r in cart.expire_due(latest, F.lit(done[-1][3])).where("expired_now").collect()}
+    assert due and due <= set(expected)
+
+
+REQUESTS = "merchant_id string, key string, endpoint string, body string, arrival bigint, arrived_at timestamp, finished_at timestamp, response_status int"
+
+
+def test_owners_of_keys_are_remembered(spark):
+    ask = lambda n, key, text="b": ("m", key, "create", text, n, hours(n), hours(n), 201)
+    path = folder()
+    for rows in ([ask(2, "k"), ask(1, "k"), ask(3, "k", "other")], [ask(4, "k", "other"), ask(5, "n"), ask(0, "n")]):
+        requests.start_arbitration(feed(spark, path, rows, REQUESTS), path).awaitTermination()
+    got = {r.arrival: r.decision for r in spark.read.parquet(f"{path}/decisions").collect()}
+    assert got == {1: "proceed", 2: "replay", 3: "conflict", 4: "conflict", 0: "proceed", 5: "replay"}
+
+
+def test_the_first_batch_that_names_a_key_owns_it(spark):
+    path = folder()
+    ask = lambda n, text: ("m", "k", "create", text, n, hours(n), hours(n), 201)
+    for row in (ask(5, "a"), ask(1, "b"), ask(6, "a")):
+        requests.start_arbitration(feed(spark, path, [row], REQUESTS), path).awaitTermination()
+    assert {r.arrival: r.decision for r in spark.read.parquet(f"{path}/decisions").collect()} == {5: "proceed", 1: "conflict", 6: "replay"}
