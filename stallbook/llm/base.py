@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same class for DuckDB's regular expressions.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
-#: Bits of a filter that goes to the tasks: 1 MiB, whatever the number of hashes in it.
+#: Bits of the smallest filter that goes to the tasks: 1 MiB.
 FILTER_BITS = 1 << 23
 
 #: Texts are handled in slices of about this many bytes, so that memory follows the longest text and not the batch.
@@ -97,6 +97,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(parts, np.cumsum(sizes) - sizes))
 
 
+def filter_bits(n: int) -> int:
+    """Bits of a filter of n hashes: 16 a hash, which lets one other in a hundred pass; 1 MiB at least, 16 MiB at most."""
+    return min(max(1 << (16 * n).bit_length(), FILTER_BITS), FILTER_BITS << 4)
+
+
 def hash_filter(hashes: DataFrame, n_bits: int = FILTER_BITS) -> np.ndarray:
     """A filter of n_bits bits, two for each hash, built by an aggregate of at most n_bits / 32 rows."""
     probes = F.array(F.col("hash").bitwiseAND(n_bits - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(n_bits - 1))

@@ -85,6 +85,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     names = name_texts(rows.select("row", "blocks"), hashed)
     found = written(rows.select("row", "doc_id", "n_points", "text_sha256").join(names, "row"), "identities")
     best = F.min(F.struct((-F.col("n_points")).alias("size"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    groups = found.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    # Written, so that the join has both sides as they are dealt and a large group's rows can be split.
+    groups = written(found.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")), "groups")
     return found.join(groups, ["n_blocks", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stallbook.llm.base import WORD_SQL as WORD
+from stallbook.llm.pii import NUMBER_WORDS, SECRET_WORDS, account_pattern
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SHINGLES = f"""SELECT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM (
@@ -11,9 +12,12 @@ _SHINGLES = f"""SELECT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id
 DECONTAMINATION = f"""
 WITH items AS (SELECT DISTINCT * FROM ({_SHINGLES.format(key='item_id', table='benchmark')})),
 docs AS (SELECT DISTINCT * FROM ({_SHINGLES.format(key='doc_id', table='documents')}) WHERE s IN (SELECT s FROM items)),
+short AS (SELECT DISTINCT item_id, array_to_string(w, ' ') AS s FROM (SELECT item_id, regexp_extract_all(translate(text, {_LETTERS}), '{WORD}') AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND 4 AND item_id IS NOT NULL),
+whole AS (SELECT doc_id, array_to_string(regexp_extract_all(translate(text, {_LETTERS}), '{WORD}'), ' ') AS t FROM documents WHERE doc_id IS NOT NULL),
 pairs AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM docs d JOIN items i USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
-FROM pairs JOIN (SELECT id AS item_id, count(*) AS n_item FROM items GROUP BY 1) USING (item_id) WHERE n_shared * 100 >= n_item * 80"""
+FROM pairs JOIN (SELECT id AS item_id, count(*) AS n_item FROM items GROUP BY 1) USING (item_id) WHERE n_shared * 100 >= n_item * 80
+UNION ALL SELECT DISTINCT doc_id, item_id, 1, 1, 1.0 FROM whole JOIN short ON contains(' ' || t || ' ', ' ' || s || ' ')"""
 
 QUALITY_RULES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -23,7 +27,7 @@ again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, s) > 1
 repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-  coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) <> upper(x))) AS n_letter_words,
+  coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{M}}]'))) AS n_letter_words,
   len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1)) AS n_upper_words,
   length(text) - length(translate(text, '!', '')) AS n_marks,
   len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) AS n_bullets FROM w LEFT JOIN repeated USING (r)),
@@ -33,6 +37,12 @@ f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 5
   + 256 * CAST(100 * n_marks > 50 * n_words AS BIGINT) + 512 * CAST(100 * n_bullets > 90 * n_lines AND n_lines > 1 AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f"""
 
+_RULES = ["few_words", "repeated_words", "many_symbols", "short_words", "long_words", "duplicate_lines", "few_letters", "shouting", "exclaiming", "bullets"]
+RULE_ABLATIONS = f"""
+WITH ledger AS ({QUALITY_RULES.strip()}), rules(bit, rule) AS (VALUES {', '.join(f"({1 << k}, '{r}')" for k, r in enumerate(_RULES))})
+SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed = bit) AS n_only, count(*) FILTER (WHERE failed & ~bit = 0) AS n_kept_without
+FROM ledger, rules GROUP BY rule"""
+
 
 def _spans(kind: str, pattern: str, keep: str) -> str:
     """All matches of one kind with their places: the pieces between matches give the distances."""
@@ -47,20 +57,31 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i:
   CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END)) % 10 = 0"""
 _ACCOUNT = "replace(m, ' ', '')"
-_MOD_97 = f"""length({_ACCOUNT}) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], list_transform(string_split({_ACCOUNT}[5:] || {_ACCOUNT}[:4], ''),
+_MOD_97 = f"""list_reduce(list_concat([0], list_transform(string_split({_ACCOUNT}[5:] || {_ACCOUNT}[:4], ''),
   lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)), lambda a, c: CASE WHEN c < 10 THEN a * 10 + c ELSE a * 100 + c END % 97) = 1"""
 
+
+def _near(spans: str, words: str) -> str:
+    """Spans with one of the words in the 40 characters before or behind them."""
+    return f"""
+SELECT s.* FROM ({spans}) s JOIN d USING (r) WHERE regexp_matches(substr(text, greatest(start - 39, 1), least(start, 40)) || ' ' || substr(text, "end" + 1, 40), '{words}')"""
+
+
+_KINDS = "['email', 'ip', 'card', 'phone', 'iban', 'number', 'secret']"
+
 PII = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 s AS ({_spans('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')}
 UNION ALL {_spans('ip', '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+', "len(list_filter(string_split(m, '.'), lambda x: NOT regexp_matches(x, '^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$'))) = 0")}
 UNION ALL {_spans('card', '[0-9](?:[ -]?[0-9])+', _LUHN)}
 UNION ALL {_spans('phone', '[+][0-9][ ().0-9-]+[0-9]', f'length({_DIGITS}) BETWEEN 9 AND 15')}
-UNION ALL {_spans('iban', '[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}', _MOD_97)}),
+UNION ALL {_spans('iban', account_pattern(), _MOD_97)}
+UNION ALL {_near(_spans('number', r'\b(?:[A-Z]{0,3}[0-9]{6,12}|[0-9]{3}-[0-9]{2}-[0-9]{4})\b', 'true'), NUMBER_WORDS)}
+UNION ALL {_near(_spans('secret', r'\b[A-Za-z0-9_]{16,64}\b', "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"), SECRET_WORDS)}),
 g AS (SELECT r, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
   count(*) FILTER (WHERE kind = 'phone') AS n_phone,
-  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY list_position(['email', 'ip', 'card', 'phone', 'iban'], kind), start) FILTER (WHERE kind <> 'iban') AS base,
-  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY list_position(['email', 'ip', 'card', 'phone', 'iban'], kind), start) AS spans FROM s GROUP BY r)
+  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY list_position({_KINDS}, kind), start) FILTER (WHERE list_position({_KINDS}, kind) < 5) AS base,
+  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY list_position({_KINDS}, kind), start) AS spans FROM s GROUP BY r)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
 

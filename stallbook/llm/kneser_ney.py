@@ -21,27 +21,29 @@ FOLDS = 5
 QUANTILE = 0.995
 #: A short document's mean is drawn to that of its language as if it had so many characters more.
 PRIOR_CHARS = 200
-#: The worst windows of a document: runs of so many characters, at this share of all its windows ordered by surprise.
+#: The worst windows of a document: runs of so many symbols, at this share of all its windows ordered by surprise.
 WINDOW = 6
 WORST = 0.99
-#: Surprise (negative log probability) of a character in steps of 1 / STEPS, in a byte.
+#: Surprise (negative log probability) of a symbol in steps of 1 / STEPS; 16 bits hold 6,553, and a probability of
+#: 1 in 10^2800 is beyond what counts in 64 bits can give.
 STEPS = 10
-SLICE = 1 << 20
-#: Symbols are 16 bits: unknown ones share the rest of the probability evenly.
+#: Bytes of text handled at a time (each takes about 50 bytes of memory), and distinct values that wait to be merged.
+SLICE = 1 << 18
+PENDING = 250_000
+#: Symbols are UTF-16 units, so every character is told apart; unknown ones share the rest of the probability evenly.
 SYMBOLS = 1 << 16
 
 
 # ---- n-grams ----------------------------------------------------------------------------------------------------
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-grams of characters that end at each character of the texts, 16 bits a character, and the borders of the texts.
+    """The 4-grams of symbols that end at each symbol of the texts, 16 bits a symbol, and the borders of the texts.
 
-    Three zeros stand before each text. Characters beyond 16 bits fold into the 2,048 codes that no character has.
+    Three zeros stand before each text. A character beyond 16 bits is two symbols, as in UTF-16.
     """
     data, borders = utf8(column)
-    before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[borders]
-    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    points = np.where(points < SYMBOLS, points, 0xD800 + (points & 0x7FF)).astype(np.uint64)
+    before = np.concatenate(([0], np.cumsum(((data & 0xC0) != 0x80).astype(np.int64) + (data >= 0xF0))))[borders]
+    points = np.frombuffer(data.tobytes().decode().encode("utf-16-le"), np.uint16).astype(np.uint64)
     n = len(borders) - 1
     places = np.arange(len(points)) + np.repeat((ORDER - 1) * np.arange(1, n + 1), np.diff(before))
     signs = np.zeros(len(points) + (ORDER - 1) * (n + 1), np.uint64)
@@ -60,15 +62,17 @@ class _Tally:
 
     def add(self, values: np.ndarray) -> None:
         self.pending.append(np.unique(values, return_counts=True))
-        if sum(len(v) for v, _ in self.pending) > max(1_000_000, len(self.values)):
+        if sum(len(v) for v, _ in self.pending) > max(PENDING, len(self.values) // 2):
             self.merge()
 
     def merge(self) -> None:
         values = np.concatenate([self.values, *(v for v, _ in self.pending)])
         counts = np.concatenate([self.counts, *(c for _, c in self.pending)])
-        self.values, at = np.unique(values, return_inverse=True)
-        self.counts = np.bincount(at, counts, len(self.values)).astype(np.int64)
         self.pending = []
+        order = np.argsort(values)
+        values, counts = values[order], counts[order]
+        heads = np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1])))
+        self.values, self.counts = values[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -171,6 +175,13 @@ class _Lookup:
         return out
 
 
+def _lookup(shared) -> _Lookup:
+    """The table of a broadcast shard, built once a worker; it goes when the worker lets go of the broadcast."""
+    if not hasattr(shared, "lookup"):
+        shared.lookup = _Lookup(*shared.value)
+    return shared.lookup
+
+
 def row_key(doc_id: str, lang: str, text: str) -> Column:
     """Rows with equal keys have equal id, language and text."""
     return F.sha2(F.concat_ws("\0", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(lang), F.lit("\1")),
@@ -192,7 +203,7 @@ def sum_log_probabilities(docs: DataFrame, scored: DataFrame) -> DataFrame:
     """(key, doc_id, lang, n_chars, logp, worst), one row per distinct row of (doc_id, lang, text).
 
     The scored table is cut into shards of about SHARD_ROWS by hash. Per shard the documents are scanned once; each
-    takes its sum and a byte a character along to the next scan, since a window needs all its characters.
+    takes its sum and two bytes a symbol along to the next scan, since a window needs all its symbols.
     """
     spark = docs.sparkSession
     n_shards = max(1, -(-scored.count() // SHARD_ROWS))
@@ -204,15 +215,15 @@ def sum_log_probabilities(docs: DataFrame, scored: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast((table["gram"].to_numpy().view(np.uint64), table["logp"].to_numpy()))
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=k == n_shards - 1) -> Iterator[pa.RecordBatch]:
-            lookup = _Lookup(*shared.value)
+            lookup = _lookup(shared)
             for part in slices(batches, most=SLICE):
                 found, before = grams(part.column("text"))
                 logp = lookup.get(found)
                 total = np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))
                 own = total[before[1:]] - total[before[:-1]] + part.column("logp").to_numpy(zero_copy_only=False)
-                surprise = np.minimum(np.rint(-STEPS * logp), 255).astype(np.uint8)
+                surprise = np.minimum(np.rint(-STEPS * logp), 65535).astype(np.uint16)
                 if not first:
-                    surprise += utf8(part.column("surprise"))[0]  # each n-gram is in one shard
+                    surprise += utf8(part.column("surprise"))[0].view(np.uint16)  # each n-gram is in one shard
                 ids = [part.column(c) for c in ("key", "doc_id", "lang")]
                 if last:
                     yield pa.RecordBatch.from_arrays([*ids, pa.array(np.diff(before)), pa.array(own), worst_windows(surprise, before)],

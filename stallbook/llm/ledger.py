@@ -56,18 +56,33 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(words: Column, hashed=F.xxhash64) -> Column:
     """How many words lie in windows of three words that occur at least twice in the array.
 
     The windows are sorted by hash, the position packed into the low bits, and neighbours with equal hashes are
-    compared word by word: n log n in place of a pair of loops, and no rows leave the document.
+    compared word by word: n log n in place of a pair of loops, and no rows leave the document. Where neighbours
+    with one hash differ, the windows of that document are sorted by their words instead.
     """
+    def neighbours(order: Column, twins) -> Column:
+        return F.zip_with(F.slice(order, 1, F.size(order) - 1), F.slice(order, 2, F.size(order) - 1), twins)
+
+    def spread(i: Column, j: Column) -> Column:
+        return F.array(i, i + 1, i + 2, j, j + 1, j + 2)
+
+    none = F.array().cast("array<int>")
+
+    def by_words(n: Column) -> Column:
+        window = lambda i: F.struct(words[i - 1].alias("a"), words[i].alias("b"), words[i + 1].alias("c"), i.alias("at"))
+        order = F.sort_array(F.transform(F.sequence(F.lit(1), n.cast("int") - 2), window))
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        return let(order, lambda o: F.flatten(neighbours(o, lambda x, y: F.when(same(x, y), spread(x["at"], y["at"])).otherwise(none))))
+
     def counted(n: Column) -> Column:
         low = F.length(F.bin(n)).cast("int")
         place = F.expr("0L")
 
         def packed(low: Column) -> Column:
-            hashes = F.transform(F.sequence(F.lit(1), n.cast("int") - 2), lambda i: _shift(F.xxhash64(
+            hashes = F.transform(F.sequence(F.lit(1), n.cast("int") - 2), lambda i: _shift(hashed(
                 words[i - 1], words[i], words[i + 1]), low).bitwiseOR(i.cast("long")))
             return F.sort_array(hashes)
 
@@ -76,11 +91,13 @@ def repeated_words(words: Column) -> Column:
 
             def twins(x: Column, y: Column) -> Column:
                 i, j = at(x), at(y)
-                same = (_shift(x, low) == _shift(y, low)) & (words[i - 1] == words[j - 1]) & (words[i] == words[j]) & (words[i + 1] == words[j + 1])
-                return F.when(same, F.array(i, i + 1, i + 2, j, j + 1, j + 2)).otherwise(F.array().cast("array<int>"))
+                alike = (words[i - 1] == words[j - 1]) & (words[i] == words[j]) & (words[i + 1] == words[j + 1])
+                met = _shift(x, low) == _shift(y, low)
+                return F.when(met & alike, spread(i, j)).when(met, F.lit(None)).otherwise(none)
 
-            pairs = F.zip_with(F.slice(order, 1, F.size(order) - 1), F.slice(order, 2, F.size(order) - 1), twins)
-            return F.size(F.array_distinct(F.flatten(pairs))).cast("long")
+            # A null among the parts makes the whole null: two windows under one hash.
+            return let(F.flatten(neighbours(order, twins)), lambda found: F.size(F.array_distinct(
+                F.when(found.isNull(), by_words(n)).otherwise(found))).cast("long"))
 
         return F.when(n >= 4, let(low, lambda bits: let(packed(bits), lambda order: covered(order, bits)))).otherwise(place)
 
@@ -113,7 +130,7 @@ def ledger(docs: DataFrame, rules: list[Rule] = RULES, doc_id: str = "doc_id", t
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
-        part(lambda w: F.lower(w) != F.upper(w)).alias("n_letter_words"),
+        part(lambda w: w.rlike(r"[\p{L}\p{M}]")).alias("n_letter_words"),
         part(lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1)).alias("n_upper_words"),
         _count(F.col("d.text"), "!").cast("long").alias("n_marks"),
         F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).cast("long").alias("n_bullets"),

@@ -41,6 +41,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                        (~F.col("base_kept")).alias("base_failed"), "kept", "failed")
 
 
+def quality_rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of the current policy decides alone, and what would be kept without it."""
+    return ledger.ablations(ledger.ledger(given(spark, folder, "documents")), ledger.CURRENT)
+
+
 def _listed(spans, kinds: list[str]):
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     return F.array_join(F.transform(F.filter(spans, lambda s: s["kind"].isin(kinds)), text), ",")
@@ -124,6 +129,7 @@ QUERIES = {
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_collocations": op13_collocations,
+    "quality_rule_ablations": quality_rule_ablations,
 }
 #: What SQL cannot express (2, 3, 6, 7, 8, 10) is held against plain versions in tests/llm.
 CHECKS = {
@@ -134,4 +140,5 @@ CHECKS = {
     "op11_merkle_manifest": checks.MERKLE_MANIFEST,
     "op12_exact_dedup": checks.EXACT_DEDUP,
     "op13_collocations": checks.PHRASES,
+    "quality_rule_ablations": checks.RULE_ABLATIONS,
 }

@@ -225,8 +225,12 @@ def window_runs(data: np.ndarray, borders: np.ndarray, window: int = WINDOW, gra
 
 
 def _segment(batches: Iterator[pa.RecordBatch], often, hot, window: int) -> Iterator[pa.RecordBatch]:
-    """Segments that may repeat, with their route; from the third equal one in a task on only its place, as settled."""
+    """Segments that may repeat, with their route; from the third equal one in a task on only its place, as settled.
+
+    Copies of a text share their id and so their spans: the third one in a task has nothing to add.
+    """
     seen: dict[bytes, int] = {}
+    copies: dict[bytes, int] = {}
     held = 0
     for part in slices(batches, most=SLICE):
         data, borders = utf8(part.column("text"))
@@ -235,6 +239,11 @@ def _segment(batches: Iterator[pa.RecordBatch], often, hot, window: int) -> Iter
         single = np.zeros(len(key), bool)
         single[passes(hot.value, key)] = True
         raw, ids, out = data.tobytes(), part.column("id").to_pylist(), []
+        known = np.zeros(len(ids), bool)
+        for t, own in enumerate(ids):
+            copies[own] = copies.get(own, 0) + 1
+            known[t] = copies[own] > 2
+        pick = pick[~known[text[pick]]]
         for t, a, b, k, alone in zip(text[pick].tolist(), first[pick].tolist(), last[pick].tolist(), key[pick].view(np.int64).tolist(), single[pick].tolist(), strict=True):
             origin = int(borders[t])
             for x, y in ((p, p) for p in range(a, b + 1)) if alone else ((a, b),):
@@ -246,7 +255,7 @@ def _segment(batches: Iterator[pa.RecordBatch], often, hot, window: int) -> Iter
                 out.append((route, ids[t], x - origin, y + window - origin, content if n < 3 else None))
                 held += len(content) if n == 1 else 0
             if held > 64 << 20:
-                seen, held = {}, 0
+                seen, copies, held = {}, {}, 0
         if out:
             route, own, start, end, content = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(

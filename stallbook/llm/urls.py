@@ -51,10 +51,23 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), "^[^/?#]*([^?#]*)", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """The path with its . and .. segments resolved; what leads above the root stays at the root."""
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(path, "/", -1)
+    ends_open = F.element_at(parts, -1).isin(".", "..")
+    resolved = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.element_at(parts, 1)), step)
+    joined = F.concat(F.array_join(resolved, "/"), F.when(ends_open, "/").otherwise(""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), joined).otherwise(path)
+
+
 def address_of(url: Column) -> Column:
-    """Host, path and query: the scheme and the part after # name no other resource. Null without a host."""
+    """Host, path without dot segments, and query: the scheme and the part after # name no other resource. Null without a host."""
     query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
+    return F.when(host_of(url) != "", F.concat(host_of(url), without_dots(path_of(url)), query))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -66,12 +79,30 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, in double quotes, in single ones or bare; empty if there is none."""
+    pattern = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
+
+
+def _tags(html: Column, name: str, keep) -> Column:
+    """The first tag of this name for which keep(tag) holds; null if there is none."""
+    tags = F.regexp_extract_all(html, F.lit(rf"""(?i)<{name}\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), 0)
+    return F.get(F.filter(tags, keep), 0)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) addresses: the canonical link and the immediate redirect that each page states, if any."""
+    """(source, target) addresses: the canonical link and the immediate redirect that each page states, if any.
+
+    Attributes may come in any order and any quotes, and `rel` may list several words.
+    """
     page = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where(F.lower("html").rlike("canonical|refresh"))
-    tag = F.regexp_extract("html", r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    canonical = F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    moved = F.regexp_extract("html", r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*([^\"'\s>]+)", 1)
+    words = lambda x: F.split(F.lower(x), r"[\x20\x09-\x0D]+")
+    link = _tags(F.col("html"), "link", lambda x: F.array_contains(words(_attribute(x, "rel")), "canonical"))
+    meta = _tags(F.col("html"), "meta", lambda x: F.trim(F.lower(_attribute(x, "http-equiv"))) == "refresh")
+    canonical = F.trim(_attribute(link, "href"))
+    moved = F.regexp_extract(_attribute(meta, "content"), r"""(?i)\burl\s*=\s*["']?([^"'\s]+)""", 1)
+    canonical, moved = F.coalesce(canonical, F.lit("")), F.coalesce(moved, F.lit(""))
     page = page.withColumn("href", F.explode(F.array(canonical, moved))).where("href <> ''").withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&")))
     site = F.concat(F.lit("http://"), host_of(F.col("url")))
     href = F.col("href")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -41,41 +41,53 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])
 _HINTS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TEXT = "#"
-#: Pages may nest as deep as they like: Python's own calls need no machine stack, only this limit.
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 27))
+#: Inline elements whose text belongs to a form.
+MUTED = frozenset("label input".split())
+#: Different pages that say the same before a text counts as part of the host's template.
+SAME_PAGES = 3
 
 
 @dataclass
 class Node:
     """One item of a wrapper: an element or a text slot; `plus`: repeated, `optional`: not on every page.
 
-    mass: characters of text directly in it, over all pages merged.
+    mass: characters of text directly in it, over all pages merged. text: hash of a slot's text while it is the same
+    wherever it was met, empty once it varies. parts: child lists still to be aligned; one when the node is settled.
     """
 
     label: str
-    children: list[Node] = field(default_factory=list)
+    parts: list[list[Node]] = field(default_factory=list)
     plus: bool = False
     optional: bool = False
     mass: int = 0
+    text: str = ""
+
+    @property
+    def children(self) -> list[Node]:
+        return self.parts[0] if self.parts else []
 
     def pack(self) -> list:
         """The nodes in order, each before its children, without nesting."""
         out, left = [], [self]
         while left:
             node = left.pop()
-            out.append([node.label, int(node.plus), int(node.optional), node.mass, len(node.children)])
+            out.append([node.label, int(node.plus), int(node.optional), node.mass, node.text, len(node.children)])
             left.extend(reversed(node.children))
         return out
 
     @staticmethod
     def unpack(rows: list) -> Node:
         done: list[Node] = []
-        for label, plus, optional, mass, n in reversed(rows):
+        for label, plus, optional, mass, text, n in reversed(rows):
             children = [done.pop() for _ in range(n)]
-            done.append(Node(label, children, bool(plus), bool(optional), mass))
+            done.append(Node(label, [children] if children else [], bool(plus), bool(optional), mass, text))
         return done[0]
 
 
+def _hash(*parts: str) -> str:
+    return blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
 # ---- token streams ----------------------------------------------------------------------------------------------
 
 def _label(name: str, attributes: str) -> str:
@@ -94,37 +106,51 @@ def _label(name: str, attributes: str) -> str:
     return ".".join([name, *sorted(words)])
 
 
-def read_page(html: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
-    """The page as a tree, and its blocks of text in order with the labels of the elements around each."""
-    root = Node("page")
-    stack, names, blocks, text = [root], ["page"], [], []
-    opened = Counter(names)
+@dataclass
+class Page:
+    """A page as a tree, and flat: per element its place (hash of the labels from the root), its parent, and whether it, or
+    one around it, surrounds articles; and the blocks of text with the element each stands in."""
+
+    root: Node
+    places: list[str]
+    parents: list[int]
+    around: list[bool]
+    blocks: list[tuple[int, str]]
+
+
+def read_page(html: str) -> Page:
+    """Reads the markup in one pass; the work grows with the page, whatever its depth."""
+    page = Page(Node("page", [[]]), [_hash("page")], [-1], [False], [])
+    stack, numbers, names, text = [page.root], [0], ["page"], []
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack, by name
+    muted: list = []  # an inline element whose text is left out: name, how often it is open, depth around it
 
     def flush() -> None:
-        block = " ".join(unescape("".join(text)).split())
+        block = " ".join("".join(text).split())
         text.clear()
         if block:
-            stack[-1].children.append(Node(TEXT, mass=len(block)))
-            blocks.append((tuple(n.label for n in stack), block))
+            stack[-1].parts[0].append(Node(TEXT, mass=len(block), text=_hash(block)))
+            page.blocks.append((numbers[-1], block))
 
     def close(to: int) -> None:
         flush()
-        opened.subtract(names[to:])
-        del stack[to:], names[to:]
+        for name in names[to:]:
+            opened[name].pop()
+        del stack[to:], numbers[to:], names[to:]
+        if muted and len(names) <= muted[2]:
+            muted.clear()
 
-    def last(name: str) -> int:
-        at = len(names) - 1
-        while names[at] != name:
-            at -= 1
-        return at
+    def add(piece: str) -> None:
+        if piece and not muted:
+            text.append(unescape(piece))  # a reference does not reach across markup
 
     at, n = 0, len(html)
     while at < n:
         found = _TAG.search(html, at)
         if not found:
-            text.append(html[at:])
+            add(html[at:])
             break
-        text.append(html[at:found.start()])
+        add(html[at:found.start()])
         at = found.end()
         if not found[2]:
             continue
@@ -132,58 +158,92 @@ def read_page(html: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
         if not closing and name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
-            continue
-        if name == "br":
-            text.append(" ")
+        elif name == "br":
+            add(" ")
         elif name in INLINE:
-            continue
+            if muted:
+                if name == muted[0] and name not in VOID:
+                    muted[1] += -1 if closing else 1
+                    if not muted[1]:
+                        muted.clear()
+            elif not closing and name not in VOID and (name in MUTED or is_around(_label(name, attributes))):
+                muted += [name, 1, len(names) - 1]
         elif closing:
-            if opened[name] > 0:
-                close(last(name))
+            if opened[name]:
+                close(opened[name][-1])
             else:
                 flush()
         else:
-            if name in ENDS_PARAGRAPH and opened["p"] > 0:
-                close(last("p"))
-            if name in ENDS_OWN and opened[name] > 0:
-                own = last(name)
-                if not set(names[own:]) & set(ENDS_OWN[name].split()):
+            if name in ENDS_PARAGRAPH and opened["p"]:
+                close(opened["p"][-1])
+            if name in ENDS_OWN and opened[name]:
+                own = opened[name][-1]
+                if not any(opened[x] and opened[x][-1] > own for x in ENDS_OWN[name].split()):
                     close(own)
             flush()
             if name not in VOID:
-                node = Node(_label(name, attributes))
-                stack[-1].children.append(node)
+                label = _label(name, attributes)
+                node = Node(label, [[]])
+                stack[-1].parts[0].append(node)
+                page.places.append(_hash(page.places[numbers[-1]], label))
+                page.parents.append(numbers[-1])
+                page.around.append(page.around[numbers[-1]] or is_around(label))
+                opened[name].append(len(names))
                 stack.append(node)
+                numbers.append(len(page.places) - 1)
                 names.append(name)
-                opened[name] += 1
     close(1)
-    return root, blocks
+    return page
+
+
+def is_around(label: str) -> bool:
+    name, *words = label.split(".")
+    return name in AROUND or "hidden" in words or not AROUND_WORDS.isdisjoint(words)
 
 
 # ---- inference --------------------------------------------------------------------------------------------------
 
+def _copy(a: Node) -> Node:
+    return Node(a.label, [[_copy(x) for x in a.children]] if a.label[0] == "(" else list(a.parts), a.plus, a.optional, a.mass, a.text)
+
+
+def _absorb(a: Node, b: Node, plus: bool = False) -> Node:
+    """a with b merged into it: child lists wait to be aligned, but the fixed items of a group are merged one by one."""
+    if a.label[0] == "(":
+        for x, y in zip(a.children, b.children, strict=True):
+            _absorb(x, y)
+    else:
+        a.parts += b.parts
+    a.plus, a.optional, a.mass = a.plus or b.plus or plus, a.optional or b.optional, a.mass + b.mass
+    a.text = a.text if a.text == b.text else ""
+    return a
+
+
 def _merged(a: Node, b: Node, plus: bool = False) -> Node:
-    return Node(a.label, align(a.children, b.children), a.plus or b.plus or plus, a.optional or b.optional, a.mass + b.mass)
+    return _absorb(_copy(a), b, plus)
 
 
 def _repeats(items: list[Node]) -> list[Node]:
     """Runs of one label become a repeated item; a sequence of up to four items that comes again becomes a repeated group."""
     out: list[Node] = []
+    grown = None
     for x in items:
         if out and out[-1].label == x.label:
-            out[-1] = _merged(out[-1], x, True)
+            if out[-1] is not grown:
+                grown = out[-1] = _copy(out[-1])
+            _absorb(grown, x, True)
         else:
             out.append(x)
         for k in (2, 3, 4):
             if len(out) >= 2 * k and [n.label for n in out[-k:]] == [n.label for n in out[-2 * k:-k]]:
-                group = Node("(" + " ".join(n.label for n in out[-k:]) + ")", [_merged(a, b) for a, b in zip(out[-2 * k:-k], out[-k:], strict=True)], True)
+                group = Node("(" + " ".join(n.label for n in out[-k:]) + ")", [[_merged(a, b) for a, b in zip(out[-2 * k:-k], out[-k:], strict=True)]], True)
                 del out[-2 * k:]
                 if out and out[-1].label == group.label:
                     group = _merged(out.pop(), group, True)
                 out.append(group)
                 break
             if len(out) > k and out[-k - 1].label == "(" + " ".join(n.label for n in out[-k:]) + ")":
-                group = Node(out[-k - 1].label, [_merged(a, b) for a, b in zip(out[-k - 1].children, out[-k:], strict=True)], True, out[-k - 1].optional)
+                group = Node(out[-k - 1].label, [[_merged(a, b) for a, b in zip(out[-k - 1].children, out[-k:], strict=True)]], True, out[-k - 1].optional)
                 out[-k - 1:] = [group]
                 break
     return out
@@ -192,18 +252,39 @@ def _repeats(items: list[Node]) -> list[Node]:
 def _single(items: list[Node], groups: Iterable[Node]) -> list[Node]:
     """Items in which one pass through a group of the other side counts as that group."""
     for group in groups:
-        k = len(group.children)
-        i = 0
+        wanted = [n.label for n in group.children]
+        k, i = len(wanted), 0
         while i + k <= len(items):
-            if [n.label for n in items[i:i + k]] == [n.label for n in group.children]:
-                items = [*items[:i], Node(group.label, items[i:i + k], True), *items[i + k:]]
+            if items[i].label == wanted[0] and [n.label for n in items[i:i + k]] == wanted:
+                items = [*items[:i], Node(group.label, [items[i:i + k]], True), *items[i + k:]]
             i += 1
     return items
 
 
+def _common(xs: list[str], ys: list[str]) -> Iterator[tuple[int, int]]:
+    """Places of a longest common sequence, last first; rows of the table are whole numbers, a bit for each x."""
+    whole = (1 << len(xs)) - 1
+    at: defaultdict[str, int] = defaultdict(int)
+    for i, x in enumerate(xs):
+        at[x] |= 1 << i
+    rows, row = [], whole
+    for y in ys:
+        hit = row & at[y]
+        row = ((row + hit) | (row - hit)) & whole
+        rows.append(row)
+    i, j = len(xs), len(ys)
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+        else:
+            j -= 1
+            if not j or rows[j - 1] >> (i - 1) & 1:
+                i -= 1
+                yield i, j
+
+
 def align(xs: list[Node], ys: list[Node]) -> list[Node]:
     """One expression for two: items that match are merged, the others become optional, and repeats are folded."""
-    xs, ys = _repeats(xs), _repeats(ys)
     xs, ys = _single(xs, [y for y in ys if y.label[0] == "("]), _single(ys, [x for x in xs if x.label[0] == "("])
     a = 0
     while a < min(len(xs), len(ys)) and xs[a].label == ys[a].label:
@@ -211,183 +292,234 @@ def align(xs: list[Node], ys: list[Node]) -> list[Node]:
     b = 0
     while b < min(len(xs), len(ys)) - a and xs[-1 - b].label == ys[-1 - b].label:
         b += 1
-    out = [_merged(x, y) for x, y in zip(xs[:a], ys[:a], strict=True)]
     mx, my = xs[a:len(xs) - b], ys[a:len(ys) - b]
-    # The longest common sequence of labels in the middle.
-    best = [[0] * (len(my) + 1) for _ in range(len(mx) + 1)]
-    for i in range(len(mx) - 1, -1, -1):
-        for j in range(len(my) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if mx[i].label == my[j].label else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(mx) or j < len(my):
-        if i < len(mx) and j < len(my) and mx[i].label == my[j].label:
-            out.append(_merged(mx[i], my[j]))
-            i, j = i + 1, j + 1
-        elif j == len(my) or (i < len(mx) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(Node(mx[i].label, mx[i].children, mx[i].plus, True, mx[i].mass))
-            i += 1
-        else:
-            out.append(Node(my[j].label, my[j].children, my[j].plus, True, my[j].mass))
-            j += 1
+    maybe = lambda n: Node(n.label, n.parts, n.plus, True, n.mass, n.text)
+    middle: list[Node] = []
+    i, j = len(mx), len(my)
+    for p, q in [*_common([n.label for n in mx], [n.label for n in my]), (-1, -1)]:
+        middle += [maybe(n) for n in reversed(my[q + 1:j])] + [maybe(n) for n in reversed(mx[p + 1:i])]
+        if p >= 0:
+            middle.append(_merged(mx[p], my[q]))
+        i, j = p, q
+    out = [_merged(x, y) for x, y in zip(xs[:a], ys[:a], strict=True)] + middle[::-1]
     out += [_merged(x, y) for x, y in zip(xs[len(xs) - b:], ys[len(ys) - b:], strict=True)]
     return _repeats(out)
 
 
-def wrapper_of(page: Node) -> Node:
-    """The wrapper of a single page: its tree with repeats folded."""
-    return Node(page.label, _repeats([wrapper_of(c) for c in page.children]), page.plus, page.optional, page.mass)
+def _one(parts: list[list[Node]]) -> list[Node]:
+    """One expression for all child lists.
+
+    Where all lists have the same labels they match item by item. Else repeats are folded, equal layouts are merged item
+    by item, and only different ones are aligned.
+    """
+    for fold in (False, True):
+        layouts: dict[tuple[str, ...], list[Node]] = {}
+        for part in parts:
+            part = _repeats(part) if fold else part
+            key = tuple(n.label for n in part)
+            if key not in layouts:
+                layouts[key] = [_copy(n) for n in part]
+            else:
+                for x, y in zip(layouts[key], part, strict=True):
+                    _absorb(x, y)
+        if len(layouts) < 2:
+            return next(iter(layouts.values()), [])
+    keys = sorted(layouts, key=lambda k: (-len(k), k))
+    out = layouts[keys[0]]
+    for key in keys[1:]:
+        out = align(out, layouts[key])
+    return out
+
+
+def settle(root: Node) -> Node:
+    """Aligns what waits in a node and in all below it, from the top down, without recursion."""
+    left = [root]
+    while left:
+        node = left.pop()
+        if node.label != TEXT and node.label[0] != "(":
+            node.parts = [_one(node.parts)]
+        left.extend(node.children)
+    return root
+
+
+def wrapper_of(*pages: Node) -> Node:
+    """The wrapper of some pages, or of wrappers."""
+    return settle(Node(pages[0].label, [part for p in pages for part in p.parts], False, False, sum(p.mass for p in pages)))
 
 
 def expression(wrapper: Node) -> str:
     """The wrapper as a regular expression over tags and text slots."""
-    inner = " ".join([expression(c) for c in wrapper.children])
-    own = wrapper.label if wrapper.label == TEXT else f"({inner})" if wrapper.label[0] == "(" else f"<{wrapper.label}> {inner} </{wrapper.label.split('.')[0]}>"
-    return f"({own})+" * wrapper.plus + own * (not wrapper.plus) + "?" * wrapper.optional
+    order, left = [], [wrapper]
+    while left:
+        order.append(node := left.pop())
+        left.extend(node.children)
+    done: dict[int, str] = {}
+    for node in reversed(order):
+        inner = " ".join(done.pop(id(c)) for c in node.children)
+        own = node.label if node.label == TEXT else f"({inner})" if node.label[0] == "(" else f"<{node.label}> {inner} </{node.label.split('.')[0]}>"
+        done[id(node)] = f"({own})+" * node.plus + own * (not node.plus) + "?" * node.optional
+    return done[id(wrapper)]
 
 
 # ---- the article in a wrapper -----------------------------------------------------------------------------------
 
-def is_around(label: str) -> bool:
-    name, *words = label.split(".")
-    return name in AROUND or "hidden" in words or not AROUND_WORDS.isdisjoint(words)
+@dataclass
+class Rules:
+    """What a wrapper says: the places of the article, and the texts (place, hash) that are template."""
 
+    heads: list[str]
+    template: list[tuple[str, str]]
 
-def article_paths(wrapper: Node) -> list[list[str]]:
-    """Paths of the elements that hold the article.
 
-    The outermost article elements; without one main elements or such as are named like it; else the innermost element
-    around all text. Nothing inside or named like a menu, header, footer and so on counts.
-    """
-    found: dict[str, list[tuple]] = {"article": [], "main": [], "named": []}
-    around: list[tuple] = []
+def article_rules(wrapper: Node, same: bool) -> Rules:
+    """Where the article is. same: enough different pages went in for texts that never vary to be the host's own.
 
-    def visit(node: Node, path: tuple | None, inside: frozenset[str]) -> int:
-        """Characters of text in it; a path is (label, path of the parent, depth)."""
-        if node.label == TEXT:
-            around[:] = [_shared(around[0], path) if around else path]
-            return node.mass
+    What varies decides: the outermost article elements with a text slot that varies; without one main elements or
+    such as are named like it; else the innermost element around all slots that vary, less the texts in it that are the
+    same on every page. Nothing inside or named like a menu, header, footer and so on counts. Where nothing varies, all
+    text counts.
+    """
+    nodes: list[tuple[Node, int, str, str | None, bool]] = []  # node, parent, place, kind, inside of that kind
+    left: list[tuple[Node, int, str, frozenset, bool]] = [(wrapper, -1, "", frozenset(), False)]
+    while left:
+        node, parent, place, inside, maybe = left.pop()
         group = node.label[0] == "("
+        maybe = maybe or node.optional
+        if node.label == TEXT:
+            nodes.append((node, parent, place, None, maybe))
+            continue
         if not group and is_around(node.label):
-            return 0
-        here = path if group else (node.label, path, path[2] + 1 if path else 1)
+            continue
+        here = place if group else _hash(place, node.label) if parent >= 0 else _hash(node.label)
         name, *words = node.label.split(".")
         kind = None if group else "article" if name == "article" else "main" if name == "main" or "main" in words else "named" if not MAIN_WORDS.isdisjoint(words) else None
-        total = 0
-        for child in node.children:
-            total += visit(child, here, inside | {kind} if kind else inside)
-        if kind and kind not in inside and total:
-            found[kind].append(here)
-        return total
-
-    visit(wrapper, None, frozenset())
+        nodes.append((node, parent, here, None if kind in inside else kind, maybe))
+        at = len(nodes) - 1
+        left.extend((c, at, here, inside | {kind} if kind else inside, maybe) for c in reversed(node.children))
+
+    fixed = [same and n.label == TEXT and bool(n.text) and not n.plus and not maybe for n, _, _, _, maybe in nodes]
+    if all(f for (n, *_), f in zip(nodes, fixed, strict=True) if n.label == TEXT):
+        fixed = [False] * len(nodes)
+    mass = [n.mass if n.label == TEXT and not f else 0 for (n, *_), f in zip(nodes, fixed, strict=True)]
+    some = [m > 0 for m in mass]
+    for at in range(len(nodes) - 1, 0, -1):
+        mass[nodes[at][1]] += mass[at]
     for kind in ("article", "main", "named"):
-        if found[kind]:
-            return sorted(map(_spelled, found[kind]))
-    return [_spelled(x) for x in around]
+        heads = sorted({place for (_, _, place, own, _), m in zip(nodes, mass, strict=True) if own == kind and m})
+        if heads:
+            return Rules(heads, [])
+    # From the root down as long as one child holds all that varies.
+    around: int | None = None
+    for at, (node, parent, _, _, _) in enumerate(nodes):
+        if mass[at] == mass[0] and node.label != TEXT and (parent < 0 or parent == around):
+            around = at
+    template = sorted({(place, n.text) for (n, _, place, _, _), f in zip(nodes, fixed, strict=True) if f})
+    return Rules([nodes[around][2]] if any(some) and around is not None else [], template)
+
+
+def article_text(page: Page, rules: Rules) -> str:
+    """The blocks below one of the places, in nothing that surrounds an article and not template, one a line."""
+    heads, template = set(rules.heads), set(rules.template)
+    inside = []
+    for place, parent in zip(page.places, page.parents, strict=True):
+        inside.append(place in heads or (parent >= 0 and inside[parent]))
+    return "\n".join(text for at, text in page.blocks if inside[at] and not page.around[at] and not (template and (page.places[at], _hash(text)) in template))
 
 
-def _shared(a: tuple, b: tuple) -> tuple:
-    """The path of the innermost element around both."""
-    while a is not b:
-        if a[2] >= b[2]:
-            a, b = b, a
-        b = b[1]
-    return a
-
-
-def _spelled(path: tuple | None) -> list[str]:
-    out = []
-    while path:
-        out.append(path[0])
-        path = path[1]
-    return out[::-1]
-
+# ---- on Spark ---------------------------------------------------------------------------------------------------
 
-def article_text(blocks: list[tuple[tuple[str, ...], str]], paths: list[list[str]]) -> str:
-    """The blocks below one of the paths and in nothing that surrounds an article, one a line."""
-    heads = [tuple(p) for p in paths]
-    return "\n".join(text for path, text in blocks if not any(map(is_around, path)) and any(path[:len(h)] == h for h in heads))
+#: Wrappers of a host that are aligned together.
+TOGETHER = 64
+SALTS = 32
 
 
-# ---- on Spark ---------------------------------------------------------------------------------------------------
+class _Host:
+    """Pages and wrappers of one host on their way to one wrapper, and up to SAME_PAGES hashes of different pages."""
 
-def _fold(rows: Iterator[tuple[str, int, Node]]) -> Iterator[tuple[str, int, str]]:
-    """Neighbours with equal keys are merged into one wrapper."""
-    key, wrapper = None, None
-    for host, salt, node in rows:
-        if key == (host, salt):
-            wrapper = _merged(wrapper, node)
-        else:
-            if wrapper is not None:
-                yield (*key, json.dumps(wrapper.pack()))
-            key, wrapper = (host, salt), node
-    if wrapper is not None:
-        yield (*key, json.dumps(wrapper.pack()))
+    def __init__(self) -> None:
+        self.waiting: list[Node] = []
+        self.seen: set[str] = set()
 
+    def add(self, node: Node, seen: Iterable[str]) -> None:
+        self.waiting.append(node)
+        self.seen = set(sorted(self.seen | set(seen))[:SAME_PAGES])
+        if len(self.waiting) >= TOGETHER:
+            self.waiting = [wrapper_of(*self.waiting)]
 
-def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
-    host, salt, wrapper = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(salt, pa.int32()), pa.array(wrapper, pa.string())], ["host", "salt", "wrapper"])
+    def row(self, host: str | None, salt: int) -> tuple:
+        return host, salt, json.dumps(wrapper_of(*self.waiting).pack()), sorted(self.seen)
 
 
-SALTS = 32
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    host, salt, wrapper, seen = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(salt, pa.int32()), pa.array(wrapper, pa.string()), pa.array(seen, pa.list_(pa.string()))],
+                                      ["host", "salt", "wrapper", "seen"])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from (host, html): every page of a host takes part.
+    """(host, wrapper, seen) from (host, html): every page of a host takes part.
 
-    Each task merges its pages into one wrapper a host, so what is shuffled is small even for a host with a third of
-    all pages; these are merged in SALTS groups a host, and the groups then into one.
+    Each task aligns its pages into one wrapper a host, so what is shuffled is small even for a host with a third of
+    all pages; these are aligned in SALTS groups a host, and the groups then into one.
     """
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrappers: dict[str, Node] = {}
+        hosts: defaultdict[str | None, _Host] = defaultdict(_Host)
         salt = 0
         for batch in batches:
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = wrapper_of(read_page(html)[0])
+                hosts[host].add(wrapper_of(read_page(html).root), [_hash(html)])
                 salt = (salt * 31 + len(html)) % SALTS
-                wrappers[host] = _merged(wrappers[host], page) if host in wrappers else page
-        if wrappers:
-            yield _batch([(host, salt, json.dumps(w.pack())) for host, w in wrappers.items()])
+        for host, found in hosts.items():
+            yield _batch([found.row(host, salt)])
 
     def of_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(b.column("host").to_pylist(), b.column("salt").to_pylist(), b.column("wrapper").to_pylist(), strict=True))
-        for row in _fold((h, s, Node.unpack(json.loads(w))) for h, s, w in rows):
-            yield _batch([row])
-
-    schema = "host string, salt int, wrapper string"
+        key, found = None, None
+        for b in batches:
+            for host, salt, wrapper, seen in zip(*(b.column(c).to_pylist() for c in ("host", "salt", "wrapper", "seen")), strict=True):
+                if found is None or key != (host, salt):
+                    if found is not None:
+                        yield _batch([found.row(*key)])
+                    key, found = (host, salt), _Host()
+                found.add(Node.unpack(json.loads(wrapper)), seen)
+        if found is not None:
+            yield _batch([found.row(*key)])
+
+    schema = "host string, salt int, wrapper string, seen array<string>"
     rows = pages.select("host", "html").where("html is not null").mapInArrow(of_pages, schema)
     rows = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(of_wrappers, schema)
     rows = rows.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(of_wrappers, schema)
-    return rows.select("host", "wrapper")
+    return rows.select("host", "wrapper", "seen")
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page: the article found by the wrapper of its host.
 
     Blocks of the article in page order, one a line; inside a block white space is one space and character references
-    are decoded. Where a page has nothing at the wrapper's place (another layout), the wrapper of the page alone
-    decides. Null and empty pages have an empty text, as have pages without text outside of menus and the like. Pages
-    with a null URL or one without a host form one group. Repeated pages are returned as often; an empty table gives
-    no rows; other columns are not read.
+    are decoded, piece by piece between tags. Inline parts that are hidden, adverts or labels of forms are left out
+    like blocks of that kind. Where a page has nothing at the wrapper's place (another layout), the wrapper of the page
+    alone decides. Null and empty pages have an empty text, as have pages without text outside of menus and the like. Pages
+    with a null URL or one without a host form one group. Copies of a page count once in what varies, and are returned
+    as often as they come; an empty table gives no rows; other columns are not read. Pages may nest as deep as they like.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [json.dumps(article_paths(Node.unpack(json.loads(w)))) for w in b.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(found, pa.string())], ["host", "paths"])
+            found = [article_rules(Node.unpack(json.loads(w)), len(s) >= SAME_PAGES) for w, s in zip(b.column("wrapper").to_pylist(), b.column("seen").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([json.dumps([r.heads, r.template]) for r in found], pa.string())], ["host", "rules"])
 
     # A written table has a known size: the join sends it to the tasks if it is small, and else deals both sides.
-    found = written(infer_wrappers(rows).mapInArrow(places, "host string, paths string"), "wrappers")
+    found = written(infer_wrappers(rows).mapInArrow(places, "host string, rules string"), "wrappers")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for source, paths in zip(b.column("html").to_pylist(), b.column("paths").to_pylist(), strict=True):
-                tree, blocks = read_page(source or "")
-                out.append(article_text(blocks, json.loads(paths or "[]")) or article_text(blocks, article_paths(wrapper_of(tree))))
+            for source, rules in zip(b.column("html").to_pylist(), b.column("rules").to_pylist(), strict=True):
+                page = read_page(source or "")
+                heads, template = json.loads(rules or "[[], []]")
+                out.append(article_text(page, Rules(heads, [tuple(x) for x in template]))
+                           or article_text(page, article_rules(wrapper_of(page.root), False)))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.join(found, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "paths")
+    joined = rows.join(found, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "rules")
     return joined.mapInArrow(texts, "page_id long, url string, text string")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -65,8 +66,8 @@ def test_wrappers(spark):
     rows = [(1, "http://a.b/1", PAGE), (2, "http://a.b/2", None), (3, None, ""), (4, "http://a.b/3", "<div>" * 3000 + "deep"), (5, "http://c.d/", "<p>only <b>text"), (5, "http://c.d/", "<p>only <b>text")]
     got = sorted((r.page_id, r.text) for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == [(1, "A & B\nOne two three four\nx\ny\na < b é"), (2, ""), (3, ""), (4, "deep"), (5, "only text"), (5, "only text")]
-    one, two = (wrappers.wrapper_of(wrappers.read_page(x)[0]) for x in ("<div><p>a<p>b</div>", "<div><h2>t</h2><p>a</div><hr><table></table>"))
-    assert wrappers.expression(wrappers._merged(one, two)) == "<page> <div> <h2> # </h2>? (<p> # </p>)+ </div> <table>  </table>? </page>"
+    one, two = (wrappers.read_page(x).root for x in ("<div><p>a<p>b</div>", "<div><h2>t</h2><p>a</div><hr><table></table>"))
+    assert wrappers.expression(wrappers.wrapper_of(one, two)) == "<page> <div> <h2> # </h2>? (<p> # </p>)+ </div> <table>  </table>? </page>"
 
 
 def test_deep_pages_and_pages_without_article(spark):
@@ -76,10 +77,67 @@ def test_deep_pages_and_pages_without_article(spark):
             (3, "http://e.f/1", "<body><div><nav>menu</nav><div><p>first</p></div><div><p>second, a longer one</p></div></div><footer>f</footer></body>")]
     got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "one\ntwo\nthree", 2: "in\nside", 3: "first\nsecond, a longer one"}
-    tree = wrappers.read_page(deep)[0]
+    tree = wrappers.read_page(deep).root
     assert wrappers.Node.unpack(tree.pack()).pack() == tree.pack()
 
 
+def bare(i, *more):
+    """A page without semantic elements or telling classes: only what varies between pages says what the article is."""
+    return (f"<body><div><div>Home</div><div>About us</div></div><div><div>Title {i}</div>{''.join(f'<div>Story {i} {m}.</div>' for m in more)}</div>"
+            f"<div>All rights are ours</div></body>")
+
+
+def test_wrapper_finds_the_article_where_no_name_does(spark):
+    rows = [(i, f"http://a.b/{i}", bare(i, *range(i % 3 + 1))) for i in range(7)] + [(20, "http://c.d/1", bare(1, 2)), (21, "http://c.d/2", bare(1, 2)), (22, "http://c.d/3", bare(1, 2))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(df).collect()}
+    for i in range(7):
+        assert got[i] == "\n".join([f"Title {i}", *(f"Story {i} {m}." for m in range(i % 3 + 1))])
+    assert got[20] == got[21] == got[22] and "Title 1" in got[20]  # copies of one page say nothing about what varies
+
+
+def test_article_that_never_varies_is_none():
+    pages = [f"<body><article>Read our magazine</article><main><p>News {i}</p></main></body>" for i in range(4)]
+    rules = wrappers.article_rules(wrappers.wrapper_of(*(wrappers.read_page(x).root for x in pages)), True)
+    assert wrappers.article_text(wrappers.read_page(pages[0]), rules) == "News 0"
+
+
+def test_inline_parts_and_references():
+    page = wrappers.read_page("""<article><p>a &am<b>p;</b> &amp; <span class="advert">Buy <span>it</span> <b>now</b></span>x<span hidden>no</span>
+<sup class=share>s</sup><sup>2</sup> <label>L</label>end<p><i class="ad">unclosed<p>next</article>""")
+    assert wrappers.article_text(page, wrappers.article_rules(wrappers.wrapper_of(page.root), False)) == "a &amp; & x 2 end\nnext"
+
+
+def test_work_grows_with_the_page_and_not_its_depth():
+    start = time.process_time()
+    page = wrappers.read_page("<div>a" * 100_000 + "<ul><li>" * 1000)
+    wrapper = wrappers.wrapper_of(page.root)
+    assert len(wrappers.article_text(page, wrappers.article_rules(wrapper, False))) == 199_999
+    assert len(wrappers.Node.unpack(wrapper.pack()).pack()) == len(wrapper.pack()) and time.process_time() - start < 30
+
+
+def test_common_sequences():
+    rng = random.Random(2)
+    for _ in range(300):
+        x, y = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        got = list(wrappers._common(x, y))[::-1]
+        assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:]))
+
+
+def test_pages_of_an_empty_table_and_clashing_names(spark):
+    schema = "page_id long, url string, html string"
+    assert wrappers.extract_main_text(spark.createDataFrame([], schema)).count() == 0 == urls.judge_pages(spark.createDataFrame([], schema), urls.RULES).count()
+    plain = spark.createDataFrame([(1, "http://a.example.org/es/1", PAGE), (None, None, None), (2, "x", "<p>t" * 400_000)], schema)
+    more = plain.withColumns({n: F.lit("z") for n in ("host", "node", "rule", "rules", "wrapper", "salt", "seen", "text", "path", "component", "verdict")})
+    for run in (wrappers.extract_main_text, lambda df: urls.judge_pages(df, urls.RULES)):
+        assert sorted(map(str, run(plain).collect())) == sorted(map(str, run(more).collect()))
+
+
 def test_pages_against_their_markup(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
     for r in queries.op2_html_extraction(spark, FOLDER).collect():

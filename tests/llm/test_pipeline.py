@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline as pipeline
-from stallbook.llm import jaccard, kneser_ney, simhash
+from stallbook.llm import jaccard, kneser_ney
+from stallbook.llm.components import connected_components
 from stallbook.session import written
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def test_stages(spark):
     good = {r.doc_id for r in kneser_ney.classify(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")).where("kept").collect()}
     assert {r.doc_id for r in kept.collect()} == good and kept.columns == docs.columns
     single = written(pipeline.near_duplicates(spark, kept, FOLDER), "b")
-    assert {r.doc_id for r in single.collect()} == {r.component_id for r in simhash.near_duplicates(kept).collect()} and single.columns == docs.columns
+    assert {r.doc_id for r in single.collect()} == set(grouped([(r.doc_id, r.text) for r in kept.collect()]).values()) and single.columns == docs.columns
     clean = written(pipeline.decontamination(spark, single, FOLDER), "c")
     redacted = written(pipeline.personal_data(spark, clean, FOLDER), "d")
     assert redacted.columns == docs.columns and redacted.where("text rlike '[a-z]@[a-z]'").count() == 0 and redacted.where("n_chars <> length(text)").count() == 0
@@ -33,6 +34,37 @@ def test_awkward_rows(spark, docs):
     assert one.count(7) == 1 and 1 in one and 2 not in one
 
 
+def test_rows_without_an_id_are_searched(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, "before " + item + " behind", "en"), (None, "clean text without any test item in it at all", "en"), (1, "clean text without any test item in it at all", "en"),
+            (None, "alone and clean as well, nothing like it here", "de"), (None, "alone and clean as well, nothing like it here", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert pipeline.decontamination(spark, docs, FOLDER).count() == 4
+    kept = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, FOLDER).collect()), key=str)
+    assert kept == sorted([(1, rows[1][1]), (None, rows[0][1]), (None, rows[3][1])], key=str)
+
+
+def test_candidates_of_near_copies_grow_with_the_group(spark):
+    """One group of near copies: what is settled grows with its members, not with their pairs."""
+    rng = random.Random(1)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    sizes = []
+    for n in (100, 400):
+        rows = []
+        for k in range(n):
+            copy = list(base)
+            for _ in range(3):
+                copy[rng.randrange(300)] = f"x{k}"
+            rows.append((k, " ".join(copy)))
+        docs = spark.createDataFrame(rows, "id long, text string")
+        members = jaccard.buckets(written(jaccard.prefixes(docs, 5, 80), "p"))
+        first = written(jaccard.neighbours(members, 80), "n")
+        parts = connected_components(first).toDF("key", "part")
+        sizes.append(first.count() + jaccard.candidates(members, parts, 80).count())
+        assert {r.component_id for r in jaccard.near_copies(docs.withColumnRenamed("id", "doc_id")).collect()} == {0}
+    assert sizes[1] < 8 * sizes[0] and sizes[1] < 400 * 399 / 8
+
+
 def grouped(rows, size=5):
     """Smallest id reachable over pairs with a similarity of 0.8, by comparing all pairs."""
     cut = lambda w: {tuple(w[i:i + size]) for i in range(max(len(w) - size + 1, min(len(w), 1)))}
@@ -62,6 +94,6 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "BLOCK", block)
         monkeypatch.setattr(jaccard, "SAMPLE", sample)
         assert {r.doc_id: r.component_id for r in jaccard.near_copies(table).collect()} == expected
-    assert {r.doc_id for r in pipeline.near_duplicates(spark, table, FOLDER).collect()} == set(expected.values())
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, table.selectExpr("*", "'en' lang"), FOLDER).collect()} == set(expected.values())
     given = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
     assert {r.doc_id: r.component_id for r in jaccard.near_copies(given).collect()} == grouped([(r.doc_id, r.text) for r in given.collect()])
