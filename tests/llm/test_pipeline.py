@@ -90,8 +90,9 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     expected = grouped(rows)
     assert 15 < len(set(expected.values())) < 90
-    for block, sample in ((4096, 16), (2, 1)):
+    for block, sample, crowd in ((4096, 16, 64), (2, 1, 3)):
         monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
         monkeypatch.setattr(jaccard, "SAMPLE", sample)
         assert {r.doc_id: r.component_id for r in jaccard.near_copies(table).collect()} == expected
     assert {r.doc_id for r in pipeline.near_duplicates(spark, table.selectExpr("*", "'en' lang"), FOLDER).collect()} == set(expected.values())
