@@ -41,8 +41,8 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return cart.price_lines(table(spark, sf, "requested"), table(spark, sf, "catalog"))
 
 
-def _carts(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
-    return cart.cart_status(cart.cart_totals(table(spark, sf, "sessions"), lines))
+def _carts(spark: SparkSession, sf: str, lines: DataFrame, categories: bool = False) -> DataFrame:
+    return cart.cart_status(cart.cart_totals(table(spark, sf, "sessions"), lines, categories))
 
 
 def _consumption(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +51,7 @@ def _consumption(spark: SparkSession, sf: str) -> DataFrame:
 
 def _verdicts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lines = _lines(spark, sf)
-    facts = gate.cart_facts(_carts(spark, sf, lines), lines)
+    facts = gate.cart_facts(_carts(spark, sf, lines, categories=True), lines)
     joined = facts.join(_mandates(spark, sf), "session_id", "left")
     marked = gate.consumed_by_other(joined, _consumption(spark, sf))
     return gate.evaluate(marked, F.col("now")), lines
@@ -407,7 +407,7 @@ def gate_verdicts(spark, sf):
 )
 def gate_preconditions(spark, sf):
     lines = _lines(spark, sf)
-    facts = gate.cart_facts(_carts(spark, sf, lines), lines).join(_mandates(spark, sf), "session_id", "left")
+    facts = gate.cart_facts(_carts(spark, sf, lines, categories=True), lines).join(_mandates(spark, sf), "session_id", "left")
     return gate.preconditions(facts).select("session_id", "precondition")
 
 
@@ -419,7 +419,7 @@ SELECT session_id, k1 AS validity_window, k2 AS single_use_check, k3 AS ceiling,
 )
 def gate_peer_checks(spark, sf):
     lines = _lines(spark, sf)
-    facts = gate.cart_facts(_carts(spark, sf, lines), lines).join(_mandates(spark, sf), "session_id", "left")
+    facts = gate.cart_facts(_carts(spark, sf, lines, categories=True), lines).join(_mandates(spark, sf), "session_id", "left")
     marked = gate.consumed_by_other(facts, _consumption(spark, sf))
     return gate.peer_checks(marked, F.col("now")).select(
         "session_id", "validity_window", "single_use_check", "ceiling", "category_check", "item_count_check"
@@ -434,7 +434,7 @@ SELECT session_id, total_minor, 'INR' AS currency, n_lines AS item_count, array_
 )
 def gate_cart_facts(spark, sf):
     lines = _lines(spark, sf)
-    return gate.cart_facts(_carts(spark, sf, lines), lines).select(
+    return gate.cart_facts(_carts(spark, sf, lines, categories=True), lines).select(
         "session_id", "total_minor", "currency", "item_count",
         F.array_join("cart_categories", ",").alias("cart_categories"),
     )
