@@ -98,3 +98,20 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in pipeline.near_duplicates(spark, table.selectExpr("*", "'en' lang"), FOLDER).collect()} == set(expected.values())
     given = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
     assert {r.doc_id: r.component_id for r in jaccard.near_copies(given).collect()} == grouped([(r.doc_id, r.text) for r in given.collect()])
+
+
+def test_fingerprints_are_compared_first(spark, monkeypatch):
+    """The stage goes through the SimHash operator, and what its fingerprints join is settled by the exact sets."""
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    near, far = [*base[:399], "other"], [f"v{k}" for k in range(400)]
+    table = spark.createDataFrame([(1, " ".join(base), "en"), (2, " ".join(near), "en"), (3, " ".join(far), "en")], "doc_id long, text string, lang string")
+    asked = []
+    found = pipeline.simhash.near_duplicates
+    monkeypatch.setattr(pipeline.simhash, "near_duplicates", lambda docs, **k: asked.append(k) or found(docs, **k))
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, table, FOLDER).collect()} == {1, 3} and asked
+    # A wrong group joins nothing: its pairs are settled by the sets.
+    wrong = table.selectExpr("doc_id", "1L component_id")
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(table, groups=wrong).collect()} == {1: 1, 2: 1, 3: 3}
+    rows = written(jaccard.prefixes(table.selectExpr("doc_id id", "text"), 5, 80), "p")
+    assert jaccard.grouped_pairs(rows, wrong.withColumnRenamed("doc_id", "id")).count() == 2

@@ -6,8 +6,10 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from stallbook.streaming.state import FirstOwner
 from stallbook.operators import cart
 from stallbook.sources.payments import parse_events
 from stallbook.streaming import payments, requests
@@ -260,3 +262,36 @@ def test_the_first_batch_that_names_a_key_owns_it(spark):
     for row in (ask(5, "a"), ask(1, "b"), ask(6, "a")):
         requests.start_arbitration(feed(spark, path, [row], REQUESTS), path).awaitTermination()
     assert {r.arrival: r.decision for r in spark.read.parquet(f"{path}/decisions").collect()} == {5: "proceed", 1: "conflict", 6: "replay"}
+
+
+def test_a_bucket_of_keys_costs_few_calls_to_the_store():
+    """The keys of a bucket share one value: calls do not grow with keys."""
+    calls = []
+
+    class Value:
+        def __init__(self):
+            self.kept = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.kept is not None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, value):
+            calls.append("update")
+            self.kept = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    owners = FirstOwner(["key"], "arrival bigint, sha string", "arrival")
+    owners.init(Handle())
+    rows = [Row(key=f"k{i % 100}", arrival=i, sha=str(i)) for i in range(300)]
+    assert all(r.owner is None for r in owners.handleInputRows((1,), iter(rows), None))
+    later = list(owners.handleInputRows((1,), iter([Row(key="k7", arrival=-1, sha="x"), Row(key="new", arrival=9, sha="y")]), None))
+    assert [r.owner and r.owner.arrival for r in later] == [7, None]
+    assert len(calls) <= 6
