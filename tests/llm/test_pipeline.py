@@ -111,7 +111,7 @@ def test_fingerprints_are_compared_first(spark, monkeypatch):
     monkeypatch.setattr(pipeline.simhash, "near_duplicates", lambda docs, **k: asked.append(k) or found(docs, **k))
     assert {r.doc_id for r in pipeline.near_duplicates(spark, table, FOLDER).collect()} == {1, 3} and asked
     # A wrong group joins nothing: its pairs are settled by the sets.
-    wrong = table.selectExpr("doc_id", "1L component_id")
+    wrong = table.selectExpr("xxhash64(doc_id) hash", "1L component_id")
     assert {r.doc_id: r.component_id for r in jaccard.near_copies(table, groups=wrong).collect()} == {1: 1, 2: 1, 3: 3}
     rows = written(jaccard.prefixes(table.selectExpr("doc_id id", "text"), 5, 80), "p")
-    assert jaccard.grouped_pairs(rows, wrong.withColumnRenamed("doc_id", "id")).count() == 2
+    assert jaccard.grouped_pairs(rows, wrong).count() == 2
