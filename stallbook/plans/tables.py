@@ -13,7 +13,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
+from ..session import configure, spread
 
 GIVEN = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -304,7 +304,9 @@ def _names(sql: str) -> list[str]:
 
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    spread(spark, path)
+    return spark.read.parquet(path)
 
 
 #: Tables whose rows cost much to work on; a given table in few files would leave that to few tasks.
