@@ -146,7 +146,16 @@ def alternatives(
         reads.join(ladder, [*SHELF, "block"])
         .where("position BETWEEN first AND last AND item_price >= price_from")
         .select("session_id", "merchant_id", "variant_id", "title", "item_price", "currency", "category")
-        .join(in_cart.select("session_id", "variant_id"), ["session_id", "variant_id"], "left_anti")
+    )
+    # What is in the cart stands beside what was found, so that both are dealt by session once, for the windows too.
+    held = in_cart.where("session_id IS NOT NULL AND variant_id IS NOT NULL").select("session_id", "variant_id", F.lit(True).alias("held"))
+    same = Window.partitionBy("session_id", "variant_id")
+    found = (
+        found.withColumn("held", F.lit(False)).unionByName(held, allowMissingColumns=True)
+        .repartition("session_id")
+        .withColumn("hidden", F.max("held").over(same))
+        .where("NOT hidden")
+        .drop("held", "hidden")
     )
     dearest = Window.partitionBy("session_id").orderBy(F.desc("item_price"), tie_digest("variant_id"))
     item = F.struct("variant_id", "title", "item_price", "currency", "category")

@@ -49,12 +49,21 @@ def _consumption(spark: SparkSession, sf: str) -> DataFrame:
     return gate.consume(table(spark, sf, "spends")).where("first_spend").select("mandate_id", "session_id")
 
 
-def _verdicts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lines = _lines(spark, sf)
-    facts = gate.cart_facts(_carts(spark, sf, lines, categories=True), lines)
+def _gated(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
     joined = facts.join(_mandates(spark, sf), "session_id", "left")
     marked = gate.consumed_by_other(joined, _consumption(spark, sf))
-    return gate.evaluate(marked, F.col("now")), lines
+    return gate.evaluate(marked, F.col("now"))
+
+
+def _verdicts(spark: SparkSession, sf: str, keep_lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, priced lines); with `keep_lines` the lines are written out, for plans that read them again."""
+    lines = _lines(spark, sf)
+    if keep_lines:
+        lines = written(lines.select(
+            "session_id", "merchant_id", "item_id", "title", "category", "item_currency", "pos", "error", "amount_minor",
+            "quoted_minor", "price_minor",
+        ), "lines")
+    return _gated(spark, sf, gate.cart_facts(_carts(spark, sf, lines, categories=True), lines)), lines
 
 
 def _offers(spark: SparkSession, sf: str, verdicts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -491,7 +500,7 @@ SELECT session_id, merchant_id, CAST(rank AS INTEGER) AS rank, variant_id AS id,
     GATE_TABLES,
 )
 def gate_alternatives(spark, sf):
-    verdicts, lines = _verdicts(spark, sf)
+    verdicts, lines = _verdicts(spark, sf, keep_lines=True)
     return _offers(spark, sf, verdicts, lines)
 
 
@@ -509,7 +518,7 @@ FROM verdicts v LEFT JOIN drifts USING (session_id) LEFT JOIN named USING (sessi
     GATE_TABLES,
 )
 def gate_evidence(spark, sf):
-    verdicts, lines = _verdicts(spark, sf)
+    verdicts, lines = _verdicts(spark, sf, keep_lines=True)
     verdicts = written(verdicts, "verdicts")
     offers = _offers(spark, sf, verdicts, lines)
     records = gate.gate_evidence(verdicts, cart.price_drift(lines), offers)
