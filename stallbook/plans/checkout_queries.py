@@ -350,8 +350,13 @@ FROM passed WHERE NOT too_soon AND single_use""",
     GATE_TABLES,
 )
 def cart_completion_events(spark, sf):
-    verdicts, lines = _verdicts(spark, sf)
-    plans = _plans(spark, sf, _carts(spark, sf, lines))
+    lines = _lines(spark, sf)
+    # The gate and the plans read the same carts.
+    carts = written(_carts(spark, sf, lines, categories=True).select(
+        "session_id", "merchant_id", "n_lines", "currency", "cart_categories", "total_minor", "payable",
+    ), "carts")
+    verdicts = _gated(spark, sf, gate.cart_facts(carts, lines))
+    plans = _plans(spark, sf, carts)
     due = _deadlines(spark, sf).select("session_id", "mandate_id", "single_use", "too_soon")
     joined = plans.join(verdicts.select("session_id", F.col("ok").alias("gate_ok")), "session_id").join(due, "session_id")
     return cart.completion_events(joined).drop("reason_human")
