@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as pipeline
+import numpy as np
 from stallbook.llm import jaccard, kneser_ney
 from stallbook.llm.components import connected_components
 from stallbook.session import written
@@ -115,3 +116,41 @@ def test_fingerprints_are_compared_first(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.near_copies(table, groups=wrong).collect()} == {1: 1, 2: 1, 3: 3}
     rows = written(jaccard.prefixes(table.selectExpr("doc_id id", "text"), 5, 80), "p")
     assert jaccard.grouped_pairs(rows, wrong).count() == 2
+
+
+def test_marks_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**64, k, np.uint64)) for k in (1, 30, 40, 70, 500, 9000)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 4 // 5], rng.integers(0, 2**64, len(s) // 2, np.uint64)))) for s in sets] + [np.zeros(0, np.uint64)]
+    n = np.array([len(s) for s in sets])
+    marks = jaccard.set_marks(np.repeat(np.arange(len(n)), n), np.concatenate(sets), n)
+    assert len(marks[0]) == marks[1].sum() and marks[1].max() == jaccard.MARK_WORDS and len(set(marks[1])) > 3
+    a, b = (x.ravel() for x in np.indices((len(n), len(n))))
+    apart = jaccard.bits_apart(a, b, marks)
+    only_one = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert (apart <= only_one).all() and (apart[a == b] == 0).all() and apart[(only_one > 5) & (n[a] < 600) & (n[b] < 600)].min() > 2
+
+
+def test_near_copies_about_the_threshold_cost_their_number(spark, monkeypatch):
+    """A group whose sets are nearly all about 80 % alike is joined without looking at most of its pairs."""
+    rng = random.Random(4)
+    base, looked = [f"w{rng.randint(0, 10**6)}" for _ in range(150)], []
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 4, 6])):
+            copy[rng.randrange(150)] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(copy)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def watched(df, purpose):
+        kept = written(df, purpose)
+        if purpose in ("neighbours", "candidates"):
+            looked.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    expected = grouped(rows)
+    assert 1 < len(set(expected.values())) < 250
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(table).collect()} == expected
+    assert sum(looked) < 3 * 300
