@@ -19,6 +19,8 @@ from stallbook.llm.base import slices
 
 #: Pieces that a task remembers: so many, and as many older ones. Also the most pairs of tokens.
 REMEMBERED = 120_000
+#: Tokens that are put together at once, so that memory follows the text and not several times its length.
+TOGETHER = 1 << 17
 
 
 class Vocabulary:
@@ -35,6 +37,10 @@ class Vocabulary:
         self.known_fits: dict[int, bool] = {}
         self.known_alone: dict[int, bool] = {}
         self._edges: dict[int, tuple[list, list]] = {}
+        self.sizes = np.zeros(max(self.tokens, default=-1) + 1, np.int64)  # the tokens one after the other, by rank
+        self.sizes[list(self.tokens)] = list(map(len, self.tokens.values()))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(self.tokens[rank] for rank in sorted(self.tokens)), np.uint8)
 
     def merged(self, data: bytes, most: int = 1) -> list[bytes]:
         """The encoding by its definition: join the neighbours of the lowest rank, leftmost first, until none or `most` are left."""
@@ -79,12 +85,19 @@ class Vocabulary:
             if len(self.known_fits) > REMEMBERED:
                 self.known_fits.clear()
                 self._edges.clear()
-            get, ours = self.ranks.get, self.edges(right)[0]
-            got = self.known_fits[pair] = not any(
-                since_x < until_y and since_y < until_x and (rank := get(x + y)) is not None and rank < until_x and rank <= until_y
-                for x, since_x, until_x in self.edges(left)[1] for y, since_y, until_y in ours)
+            got = self.known_fits[pair] = self._stay(self.edges(left)[1], self.edges(right)[0])
         return got
 
+    def _stay(self, ends: list, starts: list) -> bool:
+        get = self.ranks.get
+        for x, since_x, until_x in ends:
+            for y, since_y, until_y in starts:
+                if since_x < until_y and since_y < until_x:
+                    rank = get(x + y)
+                    if rank is not None and rank < until_x and rank <= until_y:
+                        return False
+        return True
+
 
 class PrefixTable:
     """The encoding of a growing or edited piece of bytes.
@@ -182,7 +195,13 @@ class Encoder:
         return array("i", b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids: array) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
+        v, ids, out = self.vocabulary, np.frombuffer(ids, np.int32), []
+        for k in range(0, len(ids), TOGETHER):
+            part = ids[k:k + TOGETHER]
+            sizes = v.sizes[part]
+            before = np.cumsum(sizes) - sizes
+            out.append(v.data[np.repeat(v.starts[part] - before, sizes) + np.arange(int(sizes.sum()))].tobytes())
+        return b"".join(out)
 
     def extend(self, text: str, ids: array, more: str) -> array:
         """The ids of text + more: only the last three pieces of text, which the pattern may cut anew, are encoded again."""

@@ -339,3 +339,15 @@ def test_pigeonhole_plans_miss_nothing(spark):
         for b in values:
             if (a ^ b).bit_count() <= 3:
                 assert any(a & m == b & m for m in masks)
+
+
+def test_many_tokens_are_put_together_in_steps(monkeypatch):
+    """Ids give back their bytes, also where a step ends inside a character; each token is taken by its place among the bytes of all."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        encoder = bpe.Encoder(bpe.Vocabulary(file.read()), public_tokenizers.PATTERN)
+    text = "Züge 🙂 und Bücher, 12 km\t\n weit " * 3
+    ids = encoder.encode(text)
+    assert encoder.vocabulary.data.tobytes()[encoder.vocabulary.starts[ids[0]]:][:encoder.vocabulary.sizes[ids[0]]] == encoder.vocabulary.tokens[ids[0]]
+    for step in (1, 3, 1 << 17):
+        monkeypatch.setattr(bpe, "TOGETHER", step)
+        assert encoder.decode(ids) == text.encode() and encoder.decode(ids[:0]) == b""
