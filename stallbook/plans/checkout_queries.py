@@ -29,9 +29,9 @@ def query(name: str, check: str | None = None, tables: tuple[str, ...] = ()):
     return add
 
 
-def _mandates(spark: SparkSession, sf: str) -> DataFrame:
+def _mandates(spark: SparkSession, sf: str, deal: bool = True) -> DataFrame:
     text = F.col("categories_text")
-    return table(spark, sf, "mandates").withColumn(
+    return table(spark, sf, "mandates", deal).withColumn(
         "categories",
         F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), F.split(text, "\\|")),
     ).drop("categories_text")
@@ -49,20 +49,27 @@ def _consumption(spark: SparkSession, sf: str) -> DataFrame:
     return gate.consume(table(spark, sf, "spends")).where("first_spend").select("mandate_id", "session_id")
 
 
-def _gated(spark: SparkSession, sf: str, facts: DataFrame) -> DataFrame:
-    joined = facts.join(_mandates(spark, sf), "session_id", "left")
-    marked = gate.consumed_by_other(joined, _consumption(spark, sf))
-    return gate.evaluate(marked, F.col("now"))
+def _facts(spark: SparkSession, sf: str, carts: DataFrame) -> DataFrame:
+    """Carts beside their mandates. Mandates are marked before they meet their carts: only they are dealt by mandate."""
+    marked = gate.consumed_by_other(_mandates(spark, sf, deal=False), _consumption(spark, sf))
+    return carts.join(marked, "session_id", "left").withColumn("consumed", F.coalesce("consumed", F.lit(False)))
+
+
+def _gated(spark: SparkSession, sf: str, carts: DataFrame) -> DataFrame:
+    return gate.evaluate(_facts(spark, sf, carts), F.col("now"))
+
+
+def _kept_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The priced lines, written out, for plans that read them again."""
+    return written(_lines(spark, sf).select(
+        "session_id", "merchant_id", "item_id", "title", "category", "item_currency", "pos", "error", "amount_minor",
+        "quoted_minor", "price_minor",
+    ), "lines")
 
 
 def _verdicts(spark: SparkSession, sf: str, keep_lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(verdicts, priced lines); with `keep_lines` the lines are written out, for plans that read them again."""
-    lines = _lines(spark, sf)
-    if keep_lines:
-        lines = written(lines.select(
-            "session_id", "merchant_id", "item_id", "title", "category", "item_currency", "pos", "error", "amount_minor",
-            "quoted_minor", "price_minor",
-        ), "lines")
+    lines = _kept_lines(spark, sf) if keep_lines else _lines(spark, sf)
     return _gated(spark, sf, gate.cart_facts(_carts(spark, sf, lines, categories=True), lines)), lines
 
 
@@ -76,7 +83,7 @@ def _offers(spark: SparkSession, sf: str, verdicts: DataFrame, lines: DataFrame)
         "session_id", "merchant_id", "max_value", "categories", "cart_categories"
     )
     refused = written(refused, "refused")
-    in_carts = lines.select("session_id", "item_id", "category", "error").join(
+    in_carts = lines.where("error IS NULL").select("session_id", "item_id", "category", "error").join(
         refused.select("session_id"), "session_id", "left_semi"
     )
     return alt.alternatives(refused, written(in_carts, "refused-lines"), table(spark, sf, "catalog"))
@@ -523,10 +530,14 @@ FROM verdicts v LEFT JOIN drifts USING (session_id) LEFT JOIN named USING (sessi
     GATE_TABLES,
 )
 def gate_evidence(spark, sf):
-    verdicts, lines = _verdicts(spark, sf, keep_lines=True)
-    verdicts = written(verdicts, "verdicts")
-    offers = _offers(spark, sf, verdicts, lines)
-    records = gate.gate_evidence(verdicts, cart.price_drift(lines), offers)
+    lines = _kept_lines(spark, sf)
+    facts = _facts(spark, sf, gate.cart_facts(_carts(spark, sf, lines, categories=True), lines))
+    # Checks have one code each and are short; the verdicts spelled from them are not, so rows are dealt by session before that.
+    checked = written(gate.peer_checks(gate.preconditions(facts), F.col("now")).drop(
+        "n_errors", "subtotal_minor", "items_base_minor", "delivery_minor", "tax_minor", "payable", "cart_status", "intent_text", "now"
+    ), "checked")
+    offers = written(_offers(spark, sf, gate.verdict(checked), lines), "offers")
+    records = gate.gate_evidence(gate.verdict(checked.repartition("session_id")), cart.price_drift(lines), offers)
     shape = (
         "cart_total_minor bigint, mandate_ceiling_minor bigint, drift array<struct<quoted_minor:bigint,live_minor:bigint>>, "
         "alternatives_offered array<struct<id:string>>"

@@ -313,11 +313,12 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
 COSTLY = {"doc_lines", "mandates", "raw_events", "sheet_parts"}
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, deal: bool = True) -> DataFrame:
     """A domain table (or a given one) as a DataFrame.
 
     The costly ones are rebalanced, by adaptive execution and by bytes, where their source has fewer files than there
-    are cores; else the files' own splits are enough and nothing is shuffled.
+    are cores; else the files' own splits are enough and nothing is shuffled. Without `deal` they are not: for rows
+    that are dealt by a key at once.
     """
     configure(spark)
     if name in GIVEN:
@@ -325,7 +326,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     sql = SPLIT_TABLES[name][0] if name in SPLIT_TABLES else _spark_text(TABLES[name])
     parts = {n: table(spark, folder, n) for n in _names(sql)}
     made = spark.sql(sql, **parts)
-    if name in COSTLY and len(made.inputFiles()) < spark.sparkContext.defaultParallelism:
+    if deal and name in COSTLY and len(made.inputFiles()) < spark.sparkContext.defaultParallelism:
         return made.hint("rebalance")
     return made
 

@@ -1,5 +1,7 @@
 """Shuffles that follow the size of the tables, and steps that run once."""
 
+import time
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
@@ -9,6 +11,7 @@ from stallbook.plans.tables import given
 
 SMALL = "/root/testdata/sf0.001"
 START = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def test_shuffles_start_from_more_partitions_for_a_larger_table(spark, tmp_path, monkeypatch):
@@ -46,3 +49,41 @@ def test_alternatives_deal_what_was_found_by_session_once(spark):
     assert sorted((r.session_id, r.rank, r.id) for r in got.collect()) == [
         ("s1", 1, None), ("s1", 2, "v19"), ("s1", 3, "v17"), ("s2", 1, None), ("s2", 2, "v17"), ("s2", 3, "v15")]
     assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def shuffled(spark):
+    """Names of the shuffle files on the disks of a session on one machine."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    before, setting = shuffled(spark), spark.conf.get(CLEANUP, None)
+    made = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count()
+    kept = session.written(made, "counts")
+    until = time.time() + 20
+    while (left := shuffled(spark) - before) and time.time() < until:  # files go in the background
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP, None) == setting
+    # The frame itself and what was kept can still be read.
+    assert kept.count() == made.count() == 5000
+
+
+def test_carts_are_not_dealt_by_mandate(spark):
+    """Gate decisions: only mandates and spends are shuffled by mandate, carts by session alone."""
+    plan = registered.queries()["gate_verdicts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    top = next(i for i, line in enumerate(plan) if "Join LeftOuter, (mandate_id" in line)
+    below = [line for i, line in enumerate(plan[top + 1:], top + 1) if all(d > depth[top] for d in depth[top + 1:i + 1])]
+    assert below and not [line for line in below if "l_orderkey" in line] and [line for line in plan if "l_orderkey" in line]
+    assert not [line for line in plan if "Rebalance" in line]  # they are dealt by key at once
+
+
+def test_evidence_deals_checks_and_not_spelled_verdicts(spark):
+    records = registered.queries()["gate_evidence"](spark, SMALL)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(session_id" in line]
+    below = [plan.splitlines()[i + 1] for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning(session_id" in line]
+    assert dealt and not [line for line in below if "peers" in line]
+    # Offers are read from where they were written; their own shuffles are gone by then.
+    assert [f for f in records.inputFiles() if "/offers-" in f] and not [f for f in records.inputFiles() if "part.parquet" in f]
