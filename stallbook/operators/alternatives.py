@@ -142,8 +142,9 @@ def alternatives(
         )
         .select("session_id", *SHELF, "block", "first", "last", "price_from")
     )
+    # Written, so that the shuffles behind it are gone before the items are dealt.
     found = (
-        reads.join(ladder, [*SHELF, "block"])
+        written(reads, "reads").join(ladder, [*SHELF, "block"])
         .where("position BETWEEN first AND last AND item_price >= price_from")
         .select("session_id", "merchant_id", "variant_id", "title", "item_price", "currency", "category")
     )
