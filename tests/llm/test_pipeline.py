@@ -118,6 +118,24 @@ def test_fingerprints_are_compared_first(spark, monkeypatch):
     assert jaccard.grouped_pairs(rows, wrong).count() == 2
 
 
+def test_groups_leave_no_pair_out(spark):
+    """A group whose smallest set is unlike its others: pairs that it is not part of are found all the same."""
+    rng, rows = random.Random(8), []
+    for b in range(6):
+        base = [f"w{b}_{rng.randint(0, 10**6)}" for _ in range(120)]
+        rows += [(10 * b + k, " ".join([*base[:118], f"x{k}", f"y{k}"])) for k in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = written(jaccard.prefixes(table.selectExpr("doc_id id", "text"), 5, 80), "p")
+    keys = dict(kept.select("id", "key").collect())
+    alike = {tuple(sorted((keys[10 * b + i], keys[10 * b + j]))) for b in range(6) for i, j in ((0, 1), (0, 2), (1, 2))}
+    for parts in ("1L", "doc_id % 10"):  # one group of all, and groups that cut each family in pieces
+        groups = table.selectExpr("xxhash64(doc_id) hash", f"{parts} component_id")
+        first = {(r.u, r.v) for r in jaccard.grouped_pairs(kept, groups).collect()}
+        assert len(alike - first) > 12  # these are left to the search
+        assert {r.doc_id: r.component_id for r in jaccard.near_copies(table, groups=groups).collect()} == grouped(rows)
+    assert len(set(grouped(rows).values())) == 6
+
+
 def test_marks_differ_in_no_more_bits_than_sets_in_shingles():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 2**64, k, np.uint64)) for k in (1, 30, 40, 70, 500, 9000)]
