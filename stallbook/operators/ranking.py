@@ -22,9 +22,13 @@ def _before(partition: list[str], *order: Column | str):
 
 
 def _dealt(df: DataFrame, group: list[str], order: list[Column | str], purpose: str) -> DataFrame:
-    """The rows by range of (group, order), with their partition and place in it; written, as both must not change."""
-    keys = [*group, *order]
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    """The rows by range of (group, order), with their partition and place in it; written, as both must not change.
+
+    In as many partitions as a shuffle starts from: put together by adaptive execution, a group of few bytes would be left to one task.
+    """
+    keys, conf = [*group, *order], df.sparkSession.conf
+    parts = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions")
+    dealt = df.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys)
     return written(dealt.withColumn("__at", F.monotonically_increasing_id()), purpose).withColumns(
         {"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND((1 << 33) - 1)}
     )
